@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import confusables, pii
+from foliograph.llm import confusables, linkage, pii
 from foliograph.session import table
 
 
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = linkage.profiles(table(spark, sf_dir, "paper"), "item_id")
+    candidates = linkage.profiles(table(spark, sf_dir, "candidate"), "candidate_id", lead="author")
+    m = linkage.match(papers, candidates)
+    return m.select(F.col("_i").alias("item_id"), F.col("_j").alias("candidate_id"), F.round("confidence", 4).alias("confidence"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_confidence(spark, sf_dir).where("confidence >= 0.5").select("item_id", "candidate_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = confusables.look_alikes(table(spark, sf_dir, "paper"), "item_id", "title")
     raw = confusables.look_alikes(table(spark, sf_dir, "reference_item"), "ref_id", "raw", "source")
@@ -37,6 +48,8 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_confidence": p2_confidence,
     "p3_found": p3_found,
     "p3_canonical_titles": p3_canonical_titles,
     "p3_confusable_tokens": p3_confusable_tokens,
