@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import confusables, linkage, pii
+from foliograph.llm import confusables, linkage, mixing, names, packing, pii
 from foliograph.session import table
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.resolve(table(spark, sf_dir, "creator_name"), table(spark, sf_dir, "paper"), table(spark, sf_dir, "reference_item"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entity_pairs(_entities(spark, sf_dir))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select(F.col("n").alias("name_id"), "entity")
+
+
 def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = linkage.profiles(table(spark, sf_dir, "paper"), "item_id")
     candidates = linkage.profiles(table(spark, sf_dir, "candidate"), "candidate_id", lead="author")
@@ -39,6 +51,23 @@ def p3_confusable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_target")
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_char")
 
@@ -48,11 +77,17 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p2_confidence": p2_confidence,
     "p3_found": p3_found,
     "p3_canonical_titles": p3_canonical_titles,
     "p3_confusable_tokens": p3_confusable_tokens,
+    "p6_containers": p6_containers,
+    "p6_report": p6_report,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
 }
