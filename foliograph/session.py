@@ -35,12 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and forget its lineage.
 
     The folder is the one the cluster names in spark.checkpoint.dir; a local
-    one is made only where that setting is absent (tests, single machine).
+    one is made only where that setting is absent (tests, single machine). A
+    checkpoint keeps the statistics and constraints estimated for the plan it
+    cuts; over iterations of joins these grow without bound (sizes of joins are
+    products), so the rows are given a new leaf that knows only their schema.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliograph-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliograph-"))
+    done = df.checkpoint(eager=True)
+    leaf = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return type(done)(leaf, spark)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
