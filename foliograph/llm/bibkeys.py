@@ -96,6 +96,10 @@ ORG = frozenset(
 )
 
 
+#: Three words or more of which the last is cut short by a full stop, as in 'Dormont Circuit Cons.'.
+_CLIPPED = re.compile(r"[^\W\d_]{3,}(?: [^\W\d_]{3,})+(?: [^\W\d_]{2,5}\.){1,2}| ?[^\W\d_]{3,}(?: [^\W\d_]{2,}\.?)+ (?:Ctr|Cons|Stu|Fdn|Inst|Grp|Net)\.?")
+
+
 def name_words(text: str | None) -> list[str]:
     return [x for w in (text or "").replace("’", "'").split() if (x := _MARKS.sub("", w.strip(".,;()")))]
 
@@ -110,7 +114,7 @@ def split_name(first: str | None, last: str | None) -> tuple[str, tuple[str, ...
     taken from case, comma, initials and a list of given names.
     """
     first, last = (canonical(first) or "").strip(), (canonical(last) or "").strip()
-    if any(fold(w) in ORG for w in name_words(f"{first} {last}")):
+    if any(fold(w) in ORG for w in name_words(f"{first} {last}")) or not first and _CLIPPED.fullmatch(last):
         return " ".join(fold(w) for w in name_words(f"{first} {last}") if fold(w) not in ("the", "of", "for")), (), True
     if first:
         fam, giv = last, first

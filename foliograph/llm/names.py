@@ -41,7 +41,8 @@ _ACRONYM = re.compile(r"\s*([A-Z]{2,8})\s*\(([^()]{3,})\)\s*")
 
 def organisation(text: str) -> str:
     """The words of an organisation's name, short forms written out, in the order typed."""
-    return " ".join(ORG_SHORT.get(w, w) for w in text.split())
+    words = " ".join(ORG_SHORT.get(w, w) for w in text.split()).split()
+    return " ".join(w for w in words if w != "group" or len(words) < 3)
 
 
 def parse(first: str | None, last: str | None) -> tuple[str, list[str], str]:
@@ -68,6 +69,10 @@ def name_keys(fam: str, giv: list[str], kind: str) -> list[str]:
     keys = {f"p:{i}:{fam[:3]}" for i in firsts} | {f"s:{i}:{fam[-3:]}" for i in firsts}
     if giv and len(giv[0]) > 2:  # family and given name may have been swapped
         keys |= {f"p:{fam[0]}:{giv[0][:3]}", f"s:{fam[0]}:{giv[0][-3:]}"}
+    if len(fam) <= 7:  # a slip in a short name may spoil both ends
+        keys |= {f"p:{i}:{fam[0]}-{fam[-1]}" for i in firsts} | {f"s:{i}:{''.join(sorted(fam))}" for i in firsts}
+    if len(giv) > 1 and len(giv[0]) > 2:  # so may given and middle name
+        keys |= {f"p:{giv[1][0]}:{fam[:3]}", f"s:{giv[1][0]}:{fam[-3:]}"}
     for part in fam.split("-")[1:] if "-" in fam else []:
         keys |= {f"p:{i}:{part[:3]}" for i in firsts}
     return sorted(keys)
@@ -92,6 +97,8 @@ def _given_level(a: tuple[str, ...], b: tuple[str, ...]) -> int:
         if not same and len(a) > 1 and len(b[0].split("-")) == 2 and a[0] + a[1] == y or len(b) > 1 and b[0] + b[1] == x:
             return 3
         level = 3 if same else 0
+    if not level and len(a) == len(b) == 2 and a[0][0] == b[1][0] and a[1][0] == b[0][0] and (len(a[1]) == 1 or len(b[1]) == 1):
+        return 2  # given and middle name swapped
     if level and len(a) > 1 and len(b) > 1 and "-" not in a[0] + b[0] and a[1][0] != b[1][0]:
         return 0  # middle initials differ
     return level
@@ -121,8 +128,8 @@ def _organisations(a: str, b: str) -> int:
     if len(x) != len(y):
         return 0
     y = list(y)
-    for w in x:
-        m = next((v for v in y if v == w), None) or next((v for v in y if close(v, w, 2 if min(len(v), len(w)) > 5 else 1)), None)
+    for w in sorted(x, key=lambda w: w not in y):
+        m = next((v for v in y if v == w), None) or next((v for v in y if len(min(v, w, key=len)) > 2 and (v.startswith(w) or w.startswith(v))), None) or next((v for v in y if close(v, w, 2 if min(len(v), len(w)) > 5 else 1)), None)
         if m is None:
             return 0
         y.remove(m)
@@ -170,11 +177,11 @@ def _best(a: pd.Series, b: pd.Series) -> pd.Series:
     for x, y in zip(a, b):
         sx = [(s["fam"], tuple(s["giv"]), s["kind"]) for s in x]
         sy = [(s["fam"], tuple(s["giv"]), s["kind"]) for s in y]
-        full_x = {s[1][0] for s in sx if s[2] == "p" and s[1] and len(s[1][0]) > 2}
-        full_y = {s[1][0] for s in sy if s[2] == "p" and s[1] and len(s[1][0]) > 2}
+        full_x = {s[1] for s in sx if s[2] == "p" and s[1] and len(s[1][0]) > 2}
+        full_y = {s[1] for s in sy if s[2] == "p" and s[1] and len(s[1][0]) > 2}
         best = max((compatible(p, q) for p in sx for q in sy), default=0)
         # whole given names on both sides, none of which agree: two people who share initials
-        if best and full_x and full_y and not any(_given_level((p,), (q,)) for p in full_x for q in full_y) and not any(p == s[0] for p in full_x for s in sy) and not any(q == s[0] for q in full_y for s in sx):
+        if best and full_x and full_y and not any(_given_level(p, q) for p in full_x for q in full_y) and not any(p[0] == s[0] for p in full_x for s in sy) and not any(q[0] == s[0] for q in full_y for s in sx):
             best = 0
         out.append(best)
     return pd.Series(out, dtype="int32")
@@ -193,6 +200,30 @@ def _work_keys(title: pd.Series, d: pd.Series, raw: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: Words of a title's beginning and end that place it in a reference typed as one text.
+WINDOW = 5
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _ends(title: pd.Series) -> pd.Series:
+    """The first and the last words of a title."""
+    out = []
+    for t in title:
+        w = content(title_words(t))
+        out.append([" ".join(w[:WINDOW]), " ".join(w[-WINDOW:])] if len(w) > WINDOW else None)
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _windows(raw: pd.Series) -> pd.Series:
+    """Every run of as many words of a text."""
+    out = []
+    for t in raw:
+        w = content(title_words(t))
+        out.append([" ".join(w[k : k + WINDOW]) for k in range(len(w) - WINDOW + 1)])
+    return pd.Series(out)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(n, label): the least node reachable from each node, by repeated minima and pointer jumps, checkpointed each round."""
     both = cut(edges.select(F.col("a"), F.col("b")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
@@ -215,9 +246,15 @@ def _works(papers: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = keys.join(first, "key").select(F.col("item").alias("a"), "b")
     work = components(papers.select(F.col("item").alias("n")).distinct(), pairs).select(F.col("n").alias("item"), F.col("label").alias("work"))
     of_key = keys.join(work, "item").select("key", "work").distinct()
-    cited = refs.select("n", "title", "doi", "raw").select("n", F.explode(_work_keys("title", "doi", "raw")).alias("key"))
-    cited = cited.select("n", F.xxhash64("key").alias("key")).distinct().join(of_key, "key").select("n", "work").distinct()
-    return work, cited
+    cites = refs.select("n", "title", "doi", "raw").distinct().withColumn("r", F.xxhash64("n", "title", "doi", "raw"))
+    cited = cites.select("n", "r", F.explode(_work_keys("title", "doi", "raw")).alias("key"))
+    cited = cut(cited.select("n", "r", F.xxhash64("key").alias("key")).distinct().join(of_key, "key").select("n", "r", "work").distinct())
+    # references without a known DOI or title: both ends of one title stand in their text
+    ends = papers.join(work, "item").select("work", F.posexplode(_ends("title")).alias("end", "key")).select("work", "end", F.xxhash64("key").alias("key")).distinct()
+    rest = cites.join(cited.select("r").distinct(), "r", "left_anti").where(F.col("raw").isNotNull())
+    rest = rest.select("n", "r", F.explode(_windows("raw")).alias("key")).select("n", "r", F.xxhash64("key").alias("key"))
+    placed = rest.join(ends, "key").groupBy("n", "r", "work").agg(F.countDistinct("end").alias("ends")).where("ends = 2").select("n", "r", "work")
+    return work, cited.unionByName(placed).select("n", "work").distinct()
 
 
 def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: bool = True, max_rounds: int = 12) -> DataFrame:
