@@ -55,8 +55,20 @@ def parse(first: str | None, last: str | None) -> tuple[str, list[str], str]:
     return (organisation(fam), [], "o") if org else (fam, list(giv), "p")
 
 
+def place_keys(fam: str, giv: list[str], kind: str) -> list[str]:
+    """Coarse keys for names typed for one work: initials, and the first letter of the family name."""
+    if kind != "p":
+        return ["o"]
+    keys = {f"f:{fam[:1]}"} if fam else set()
+    for g in giv[:2]:
+        keys |= {f"i:{x[0]}" for x in full_forms(g)}
+    if giv and len(giv[0]) > 2:  # family and given name may have been swapped
+        keys |= {f"f:{giv[0][0]}", f"i:{fam[:1]}"}
+    return sorted(keys)
+
+
 def name_keys(fam: str, giv: list[str], kind: str) -> list[str]:
-    """Blocking keys that one slip in a name leaves in common with its other spellings."""
+    """Keys for names at large, one of which most slips in a name leave as it is."""
     if kind == "a":
         return [f"o:{''.join(sorted(fam))}:{giv[0]}"]
     if kind == "o":
@@ -66,16 +78,11 @@ def name_keys(fam: str, giv: list[str], kind: str) -> list[str]:
     if not fam:
         return []
     firsts = {x[0] for x in full_forms(giv[0])} if giv else {""}
-    keys = {f"p:{i}:{fam[:3]}" for i in firsts} | {f"s:{i}:{fam[-3:]}" for i in firsts}
-    if giv and len(giv[0]) > 2:  # family and given name may have been swapped
-        keys |= {f"p:{fam[0]}:{giv[0][:3]}", f"s:{fam[0]}:{giv[0][-3:]}"}
+    if len(giv) > 1 and len(giv[1]) == 1:
+        firsts |= {giv[1]}
     if len(fam) <= 7:  # a slip in a short name may spoil both ends
-        keys |= {f"p:{i}:{fam[0]}-{fam[-1]}" for i in firsts} | {f"s:{i}:{''.join(sorted(fam))}" for i in firsts}
-    if len(giv) > 1 and len(giv[0]) > 2:  # so may given and middle name
-        keys |= {f"p:{giv[1][0]}:{fam[:3]}", f"s:{giv[1][0]}:{fam[-3:]}"}
-    for part in fam.split("-")[1:] if "-" in fam else []:
-        keys |= {f"p:{i}:{part[:3]}" for i in firsts}
-    return sorted(keys)
+        return sorted(f"b:{i}:{fam[0]}{fam[-1]}" for i in firsts)
+    return sorted({f"p:{i}:{fam[:3]}" for i in firsts} | {f"s:{i}:{fam[-3:]}" for i in firsts})
 
 
 @lru_cache(maxsize=1 << 16)
@@ -166,8 +173,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for n, f, l in zip(b["n"], b["first_name"], b["last_name"]):
             fam, giv, kind = parse(f, l)
-            rows.append((n, fam, giv, kind, name_keys(fam, giv, kind)))
-        yield pd.DataFrame(rows, columns=["n", "fam", "giv", "kind", "keys"])
+            rows.append((n, fam, giv, kind, place_keys(fam, giv, kind), name_keys(fam, giv, kind)))
+        yield pd.DataFrame(rows, columns=["n", "fam", "giv", "kind", "places", "keys"])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -246,14 +253,15 @@ def _works(papers: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = keys.join(first, "key").select(F.col("item").alias("a"), "b")
     work = components(papers.select(F.col("item").alias("n")).distinct(), pairs).select(F.col("n").alias("item"), F.col("label").alias("work"))
     of_key = keys.join(work, "item").select("key", "work").distinct()
-    cites = refs.select("n", "title", "doi", "raw").distinct().withColumn("r", F.xxhash64("n", "title", "doi", "raw"))
-    cited = cites.select("n", "r", F.explode(_work_keys("title", "doi", "raw")).alias("key"))
-    cited = cut(cited.select("n", "r", F.xxhash64("key").alias("key")).distinct().join(of_key, "key").select("n", "r", "work").distinct())
-    # references without a known DOI or title: both ends of one title stand in their text
+    cited = refs.select("n", F.explode(_work_keys("title", "doi", "raw")).alias("key")).select("n", F.xxhash64("key").alias("key")).distinct()
+    cited = cited.join(of_key, "key").select("n", "work")
+    # both ends of a title stand in the reference's title or, where none was parsed, in its text
     ends = papers.join(work, "item").select("work", F.posexplode(_ends("title")).alias("end", "key")).select("work", "end", F.xxhash64("key").alias("key")).distinct()
-    rest = cites.join(cited.select("r").distinct(), "r", "left_anti").where(F.col("raw").isNotNull())
-    rest = rest.select("n", "r", F.explode(_windows("raw")).alias("key")).select("n", "r", F.xxhash64("key").alias("key"))
-    placed = rest.join(ends, "key").groupBy("n", "r", "work").agg(F.countDistinct("end").alias("ends")).where("ends = 2").select("n", "r", "work")
+    marked = refs.withColumn("r", F.xxhash64("n", "title", "raw"))
+    runs = marked.where(F.col("title").isNull() & F.col("raw").isNotNull()).select("n", "r", F.explode(_windows("raw")).alias("key"))
+    runs = runs.unionByName(marked.where(F.col("title").isNotNull()).select("n", "r", F.explode(_ends("title")).alias("key")))
+    runs = runs.select("n", "r", F.xxhash64("key").alias("key"))
+    placed = runs.join(ends, "key").groupBy("n", "r", "work").agg(F.countDistinct("end").alias("ends")).where("ends = 2").select("n", "work")
     return work, cited.unionByName(placed).select("n", "work").distinct()
 
 
@@ -266,7 +274,8 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
     without words or evidence stays alone. Equal spelling alone links nothing.
     """
     spelled = names.where(F.col("name_id").isNotNull()).select(F.col("name_id").cast("bigint").alias("n"), "first_name", "last_name").distinct()
-    spelled = cut(spelled.mapInPandas(_parse_batches, "n bigint, fam string, giv array<string>, kind string, keys array<string>").dropDuplicates(["n"]))
+    spelled = spelled.mapInPandas(_parse_batches, "n bigint, fam string, giv array<string>, kind string, places array<string>, keys array<string>")
+    spelled = cut(spelled.dropDuplicates(["n"]))
     held = papers.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item"), "title", "doi", "creators")
     occ = held.select("item", F.posexplode("creators").alias("pos", "c")).select("item", "pos", F.col("c.name_id").cast("bigint").alias("n"), F.col("c.orcid").alias("orcid"), F.col("c.email").alias("email"), F.col("c.affiliations").alias("affs"))
     occ = cut(occ.where(F.col("n").isNotNull()).dropDuplicates(["item", "pos", "n"]))
@@ -282,19 +291,19 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
     by_id = marks.join(marks.groupBy("key").agg(F.min("n").alias("b")), "key").select(F.col("n").alias("a"), "b")
 
     # one work, one place: compatible names
-    shape = spelled.select("n", F.struct("fam", "giv", "kind").alias("s"), "keys")
-    keyed = slots.join(shape.select("n", F.explode("keys").alias("key")), "n").select("work", "key", "n", "pos")
-    x, y = (keyed.select("work", "key", F.col("n").alias(c), F.col("pos").alias(f"pos_{c}")) for c in "ab")
-    near = x.join(y, ["work", "key"]).where("a < b").groupBy("a", "b").agg(F.max((F.col("pos_a") == F.col("pos_b")).cast("int")).alias("placed"))
-    fellows = occ.join(shape.select("n", F.explode("keys").alias("key")), "n").select("item", "key", "n")
-    clash = cut(fellows.select("item", "key", F.col("n").alias("a")).join(fellows.select("item", "key", F.col("n").alias("b")), ["item", "key"]).where("a < b").select("a", "b").distinct())
+    shape = spelled.select("n", F.struct("fam", "giv", "kind").alias("s"), F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"))
+    places = spelled.select("n", F.explode("places").alias("place"))
+    keyed = cut(slots.join(places, "n").select(F.xxhash64("work", "place").alias("slot"), "n", F.col("pos").cast("short").alias("pos")))
+    x, y = (keyed.select("slot", F.col("n").alias(c), F.col("pos").alias(f"pos_{c}")) for c in "ab")
+    near = x.join(y, "slot").where("a < b").groupBy("a", "b").agg(F.max((F.col("pos_a") == F.col("pos_b")).cast("int")).alias("placed"))
+    fellows = cut(occ.join(places, "n").select(F.xxhash64("item", "place").alias("slot"), "n"))
+    clash = _pairs(fellows, "slot", "n").distinct()
     near = near.join(clash, ["a", "b"], "left_anti")
     agreed = _agreement(near, shape).where(F.when(F.col("placed") == 1, F.col("fit") >= 2).otherwise(F.col("fit") >= 4))
 
     # an organisation is its name
     orgs = shape.where("s.kind <> 'p'").select("n", F.explode("keys").alias("key"))
-    o = orgs.select("key", F.col("n").alias("a")).join(orgs.select("key", F.col("n").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    named = _agreement(o, shape).where("fit >= 4")
+    named = _agreement(_pairs(orgs, "key", "n").distinct(), shape).where("fit >= 4")
 
     strong = by_id.unionByName(agreed.select("a", "b")).unionByName(named.select("a", "b"))
     strong = _without_conflicts(strong, orcids)
@@ -309,6 +318,11 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
     return labels.select("n", F.col("label").alias("entity"))
 
 
+def _pairs(df: DataFrame, by: str, of: str) -> DataFrame:
+    """(a, b), a < b, of values of `of` that share `by`."""
+    return df.select(by, F.col(of).alias("a")).join(df.select(by, F.col(of).alias("b")), by).where("a < b").select("a", "b")
+
+
 def _agreement(pairs: DataFrame, shape: DataFrame) -> DataFrame:
     """pairs (a, b, ...) of names with `fit`, the agreement of their spellings."""
     p = pairs.join(shape.select(F.col("n").alias("a"), F.array("s").alias("sa")), "a").join(shape.select(F.col("n").alias("b"), F.array("s").alias("sb")), "b")
@@ -336,19 +350,20 @@ def _rematch(labels: DataFrame, shape: DataFrame, slots: DataFrame, affil: DataF
     """One round: merged profiles are blocked again, each joins its best match; None if no two merge."""
     spelled = labels.join(shape, "n")
     profile = cut(spelled.groupBy("label").agg(F.collect_set("s").alias("s")))
-    keys = cut(spelled.select("label", F.explode("keys").alias("key")).where(F.col("key").startswith("p:") | F.col("key").startswith("s:")).distinct())
+    keys = cut(spelled.where("s.kind = 'p'").select("label", F.explode("keys").alias("key")).distinct())
     on = slots.join(labels, "n").select("label", "work").distinct()
     # fellow authors as profiles; a profile's fellows are counted once however many works they share
     fellow = on.join(on.select(F.col("label").alias("fellow"), "work"), "work").where("label <> fellow").select("label", "fellow").distinct()
-    ties = fellow.select("label", F.col("fellow").cast("string").alias("tie"), F.lit(1.0).alias("w")).unionByName(
-        affil.join(labels, "n").select("label", F.concat(F.lit("a"), "aff").alias("tie"), F.lit(AFFILIATION).alias("w")).distinct()
+    ties = fellow.select("label", F.xxhash64("fellow").alias("tie"), F.lit(False).alias("aff")).unionByName(
+        affil.join(labels, "n").select("label", F.xxhash64("aff").alias("tie"), F.lit(True).alias("aff")).distinct()
     )
-    block = keys.join(ties, "label").select("label", F.xxhash64("key", "tie").alias("block"), F.xxhash64("tie").alias("tie"), "w").distinct()
-    pair = block.select("block", "tie", "w", F.col("label").alias("a")).join(block.select("block", F.col("label").alias("b")), "block").where("a < b")
-    pair = pair.select("a", "b", "tie", "w").distinct().groupBy("a", "b").agg(F.sum("w").alias("common"))
+    block = cut(keys.join(ties, "label").select("label", F.xxhash64("key", "tie").alias("block"), "tie", "aff"))
+    shared = block.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("block")
+    block = block.join(shared, "block", "left_semi")
+    pair = block.select("block", "tie", "aff", F.col("label").alias("a")).join(block.select("block", F.col("label").alias("b")), "block").where("a < b")
+    pair = pair.select("a", "b", "tie", "aff").distinct().groupBy("a", "b").agg(F.sum(F.when(F.col("aff"), AFFILIATION).otherwise(1.0)).alias("common"))
     # never two authors of one record, never two ORCIDs
-    seen = fellows.join(labels, "n").select("item", "key", "label").distinct()
-    clash = seen.select("item", "key", F.col("label").alias("a")).join(seen.select("item", "key", F.col("label").alias("b")), ["item", "key"]).where("a < b").select("a", "b").distinct()
+    clash = _pairs(fellows.join(labels, "n").select("slot", "label"), "slot", "label").distinct()
     own = orcids.join(labels, "n").groupBy("label").agg(F.min("orcid").alias("o"))
     pair = pair.join(clash, ["a", "b"], "left_anti")
     pair = pair.join(own.select(F.col("label").alias("a"), F.col("o").alias("oa")), "a", "left").join(own.select(F.col("label").alias("b"), F.col("o").alias("ob")), "b", "left")
