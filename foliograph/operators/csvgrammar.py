@@ -122,6 +122,14 @@ def _anchored(text: str, k: int, width: int) -> bool:
     return bool(head) and not issn_error(head)
 
 
+def _next_anchor(text: str, k: int, width: int) -> int:
+    """The line break before the next validated record start after k, or the text's end."""
+    nl = text.find("\n", k)
+    while nl >= 0 and not _anchored(text, nl + 1, width):
+        nl = text.find("\n", nl + 1)
+    return len(text) if nl < 0 else nl
+
+
 def records(text: str, width: int = len(COLUMNS)) -> Iterator[Parsed]:
     """The records of raw file text, resuming at validated record starts after a broken quote."""
     k, n = 0, len(text)
@@ -132,13 +140,13 @@ def records(text: str, width: int = len(COLUMNS)) -> Iterator[Parsed]:
         try:
             fields, k = _record(text, k, n, ",\n")
             fault = None
+            # a quote that closes only records later: wrong width, and a record starts inside
+            if len(fields) != width and "\n" in text[start:k].strip(ENDS):
+                nl = _next_anchor(text, start, width)
+                if nl < k:
+                    fault, fields, k = text.index('"', start), None, nl
         except Broken as e:
-            fault = e.at
-            nl = text.find("\n", start)
-            while nl >= 0 and not _anchored(text, nl + 1, width):
-                nl = text.find("\n", nl + 1)
-            k = n if nl < 0 else nl
-            fields = None
+            fault, fields, k = e.at, None, _next_anchor(text, start, width)
         yield Parsed(start, k, fields, None if fault is None else "quoting", fault)
         k += 1
 

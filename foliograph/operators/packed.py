@@ -21,7 +21,7 @@ from foliograph.session import broadcast_if_small, cut
 _DASHES = "\\-\u00ad\u2010-\u2015\u2212\ufe63"
 #: A number with inner dashes, a word, blanks, or any single sign.
 _RUN = rf"[0-9](?:[0-9Xx{_DASHES}]*[0-9Xx])?|\p{{L}}+|[\s\u00a0]+|[\s\S]"
-_WIDE, _PLAIN = "０１２３４５６７８９Ｘｘ", "0123456789Xx"
+_WIDE, _PLAIN = "０１２３４５６７８９Ｘｘ－", "0123456789Xx-"
 
 
 def _runs(field: Column) -> Column:
