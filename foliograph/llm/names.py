@@ -17,6 +17,7 @@ profiles with different ORCIDs, and two authors of one record.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -70,7 +71,7 @@ def place_keys(fam: str, giv: list[str], kind: str) -> list[str]:
 def name_keys(fam: str, giv: list[str], kind: str) -> list[str]:
     """Keys for names at large, one of which most slips in a name leave as it is."""
     if kind == "a":
-        return [f"o:{''.join(sorted(fam))}:{giv[0]}"]
+        return sorted({f"o:{''.join(sorted(x))}:{giv[0]}" for x in (fam, fam.removesuffix("g"))})
     if kind == "o":
         w = fam.split()
         letters = "".join(sorted(x[0] for x in w))
@@ -161,7 +162,8 @@ def compatible(a: tuple[str, tuple[str, ...], str], b: tuple[str, tuple[str, ...
             return 5 if fa == fb and ga == gb else 0
         short, place, full = (fa, ga[0], fb) if ka == "a" else (fb, gb[0], fa)
         w = full.split()
-        return 5 if sorted(x[0] for x in w) == sorted(short) and any(close(x, place, 1) for x in w) else 0
+        letters = sorted(x[0] for x in w)
+        return 5 if letters in (sorted(short), sorted(short.removesuffix("g"))) and any(close(x, place, 1) for x in w) else 0
     return 0
 
 
@@ -194,40 +196,41 @@ def _best(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _work_keys(title: pd.Series, d: pd.Series, raw: pd.Series) -> pd.Series:
-    out = []
-    for t, x, r in zip(title, d, raw):
-        keys = [f"d:{k}" for k in {doi(x), doi(r) if r and "10." in r else None} if k]
-        if t:
-            w = "".join(content(title_words(t)))
-            if len(w) >= 12:
-                keys.append(f"t:{w}")
-        out.append(keys)
-    return pd.Series(out)
-
-
 #: Words of a title's beginning and end that place it in a reference typed as one text.
 WINDOW = 5
+_DIGEST = T.ArrayType(T.LongType())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _ends(title: pd.Series) -> pd.Series:
-    """The first and the last words of a title."""
-    out = []
-    for t in title:
-        w = content(title_words(t))
-        out.append([" ".join(w[:WINDOW]), " ".join(w[-WINDOW:])] if len(w) > WINDOW else None)
-    return pd.Series(out)
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StructType([T.StructField("keys", _DIGEST), T.StructField("ends", _DIGEST)]))
+def _title_keys(title: pd.Series, d: pd.Series, raw: pd.Series) -> pd.DataFrame:
+    """Digests of DOI and whole title, and of the title's first and last words."""
+    keys, ends = [], []
+    for t, x, r in zip(title, d, raw):
+        k = [_digest(f"d:{v}") for v in {doi(x), doi(r) if r and "10." in r else None} if v]
+        e = None
+        if t:
+            w = content(title_words(t))
+            whole = "".join(w)
+            if len(whole) >= 12:
+                k.append(_digest(f"t:{whole}"))
+            if len(w) > WINDOW:
+                e = [_digest(" ".join(w[:WINDOW])), _digest(" ".join(w[-WINDOW:]))]
+        keys.append(k)
+        ends.append(e)
+    return pd.DataFrame({"keys": keys, "ends": ends})
+
+
+@F.pandas_udf(_DIGEST)
 def _windows(raw: pd.Series) -> pd.Series:
-    """Every run of as many words of a text."""
+    """Digests of every run of as many words of a text."""
     out = []
     for t in raw:
         w = content(title_words(t))
-        out.append([" ".join(w[k : k + WINDOW]) for k in range(len(w) - WINDOW + 1)])
+        out.append([_digest(" ".join(w[k : k + WINDOW])) for k in range(len(w) - WINDOW + 1)])
     return pd.Series(out)
 
 
@@ -247,20 +250,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _works(papers: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item, work) of papers, copies joined by DOI or title, and (n, work) of cited lead authors."""
-    keys = papers.select("item", F.explode(_work_keys("title", "doi", F.lit(None).cast("string"))).alias("key")).select("item", F.xxhash64("key").alias("key"))
-    keys = cut(keys.distinct())
+    p = cut(papers.select("item", _title_keys("title", "doi", F.lit(None).cast("string")).alias("k")).select("item", "k.keys", "k.ends").distinct())
+    keys = p.select("item", F.explode("keys").alias("key"))
     first = keys.groupBy("key").agg(F.min("item").alias("b"))
     pairs = keys.join(first, "key").select(F.col("item").alias("a"), "b")
-    work = components(papers.select(F.col("item").alias("n")).distinct(), pairs).select(F.col("n").alias("item"), F.col("label").alias("work"))
+    work = cut(components(p.select(F.col("item").alias("n")).distinct(), pairs).select(F.col("n").alias("item"), F.col("label").alias("work")))
     of_key = keys.join(work, "item").select("key", "work").distinct()
-    cited = refs.select("n", F.explode(_work_keys("title", "doi", "raw")).alias("key")).select("n", F.xxhash64("key").alias("key")).distinct()
-    cited = cited.join(of_key, "key").select("n", "work")
+    r = refs.select("n", _title_keys("title", "doi", "raw").alias("k"), "title", "raw").select("n", "k.keys", F.coalesce("k.ends", F.when(F.col("title").isNull() & F.col("raw").isNotNull(), _windows("raw"))).alias("runs"))
+    r = cut(r.select("n", "keys", "runs", F.xxhash64("n", "keys", "runs").alias("r")))
+    cited = r.select("n", F.explode("keys").alias("key")).distinct().join(of_key, "key").select("n", "work")
     # both ends of a title stand in the reference's title or, where none was parsed, in its text
-    ends = papers.join(work, "item").select("work", F.posexplode(_ends("title")).alias("end", "key")).select("work", "end", F.xxhash64("key").alias("key")).distinct()
-    marked = refs.withColumn("r", F.xxhash64("n", "title", "raw"))
-    runs = marked.where(F.col("title").isNull() & F.col("raw").isNotNull()).select("n", "r", F.explode(_windows("raw")).alias("key"))
-    runs = runs.unionByName(marked.where(F.col("title").isNotNull()).select("n", "r", F.explode(_ends("title")).alias("key")))
-    runs = runs.select("n", "r", F.xxhash64("key").alias("key"))
+    ends = p.join(work, "item").select("work", F.posexplode("ends").alias("end", "key")).distinct()
+    runs = r.select("n", "r", F.explode("runs").alias("key"))
     placed = runs.join(ends, "key").groupBy("n", "r", "work").agg(F.countDistinct("end").alias("ends")).where("ends = 2").select("n", "work")
     return work, cited.unionByName(placed).select("n", "work").distinct()
 
@@ -292,12 +293,12 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
 
     # one work, one place: compatible names
     shape = spelled.select("n", F.struct("fam", "giv", "kind").alias("s"), F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"))
-    places = spelled.select("n", F.explode("places").alias("place"))
-    keyed = cut(slots.join(places, "n").select(F.xxhash64("work", "place").alias("slot"), "n", F.col("pos").cast("short").alias("pos")))
-    x, y = (keyed.select("slot", F.col("n").alias(c), F.col("pos").alias(f"pos_{c}")) for c in "ab")
-    near = x.join(y, "slot").where("a < b").groupBy("a", "b").agg(F.max((F.col("pos_a") == F.col("pos_b")).cast("int")).alias("placed"))
-    fellows = cut(occ.join(places, "n").select(F.xxhash64("item", "place").alias("slot"), "n"))
-    clash = _pairs(fellows, "slot", "n").distinct()
+    places = spelled.select("n", F.explode("places").alias("place"), "fam", F.get("giv", F.lit(0)).alias("g"))
+    near = _alike(slots.join(places, "n").select(F.xxhash64("work", "place").alias("slot"), "n", F.col("pos").cast("short").alias("pos"), "fam", "g"))
+    near = near.groupBy("a", "b").agg(F.max((F.col("pos_a") == F.col("pos_b")).cast("int")).alias("placed"))
+    # names alike of two authors of one record
+    clash = _alike(occ.join(places, "n").select(F.xxhash64("item", "place").alias("slot"), "n", "pos", "fam", "g"))
+    clash = cut(clash.select("a", "b").distinct())
     near = near.join(clash, ["a", "b"], "left_anti")
     agreed = _agreement(near, shape).where(F.when(F.col("placed") == 1, F.col("fit") >= 2).otherwise(F.col("fit") >= 4))
 
@@ -311,7 +312,7 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
 
     affil = occ.select("n", F.explode("affs").alias("aff")).select("n", _affiliation(F.col("aff")).alias("aff")).where(F.length("aff") > 5).distinct()
     for _ in range(max_rounds):
-        merged = _rematch(labels, shape, slots, affil, orcids, fellows)
+        merged = _rematch(labels, shape, slots, affil, orcids, clash)
         if merged is None:
             break
         labels = merged
@@ -323,6 +324,16 @@ def _pairs(df: DataFrame, by: str, of: str) -> DataFrame:
     return df.select(by, F.col(of).alias("a")).join(df.select(by, F.col(of).alias("b")), by).where("a < b").select("a", "b")
 
 
+def _alike(keyed: DataFrame) -> DataFrame:
+    """(a, b, pos_a, pos_b) of names that share a slot and could be one: families within two slips, swapped, double, or organisations."""
+    x, y = (keyed.select("slot", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "pos", "fam", "g")]) for side in "ab")
+    both = x.join(y, "slot").where("n_a < n_b")
+    swapped = (F.levenshtein("fam_a", "g_b", 1) >= 0) | (F.levenshtein("fam_b", "g_a", 1) >= 0)
+    like = (F.levenshtein("fam_a", "fam_b", 2) >= 0) | F.coalesce(swapped, F.lit(False)) | F.col("fam_a").contains("-") | F.col("fam_b").contains("-")
+    like = like | F.col("fam_a").contains(" ") | F.col("fam_b").contains(" ")
+    return both.where(like).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), "pos_a", "pos_b")
+
+
 def _agreement(pairs: DataFrame, shape: DataFrame) -> DataFrame:
     """pairs (a, b, ...) of names with `fit`, the agreement of their spellings."""
     p = pairs.join(shape.select(F.col("n").alias("a"), F.array("s").alias("sa")), "a").join(shape.select(F.col("n").alias("b"), F.array("s").alias("sb")), "b")
@@ -346,7 +357,7 @@ def _affiliation(aff: Column) -> Column:
 AFFILIATION = 1.5
 
 
-def _rematch(labels: DataFrame, shape: DataFrame, slots: DataFrame, affil: DataFrame, orcids: DataFrame, fellows: DataFrame) -> DataFrame | None:
+def _rematch(labels: DataFrame, shape: DataFrame, slots: DataFrame, affil: DataFrame, orcids: DataFrame, clash: DataFrame) -> DataFrame | None:
     """One round: merged profiles are blocked again, each joins its best match; None if no two merge."""
     spelled = labels.join(shape, "n")
     profile = cut(spelled.groupBy("label").agg(F.collect_set("s").alias("s")))
@@ -363,7 +374,8 @@ def _rematch(labels: DataFrame, shape: DataFrame, slots: DataFrame, affil: DataF
     pair = block.select("block", "tie", "aff", F.col("label").alias("a")).join(block.select("block", F.col("label").alias("b")), "block").where("a < b")
     pair = pair.select("a", "b", "tie", "aff").distinct().groupBy("a", "b").agg(F.sum(F.when(F.col("aff"), AFFILIATION).otherwise(1.0)).alias("common"))
     # never two authors of one record, never two ORCIDs
-    clash = _pairs(fellows.join(labels, "n").select("slot", "label"), "slot", "label").distinct()
+    la, lb = labels.select(F.col("n").alias("a"), F.col("label").alias("la")), labels.select(F.col("n").alias("b"), F.col("label").alias("lb"))
+    clash = clash.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     own = orcids.join(labels, "n").groupBy("label").agg(F.min("orcid").alias("o"))
     pair = pair.join(clash, ["a", "b"], "left_anti")
     pair = pair.join(own.select(F.col("label").alias("a"), F.col("o").alias("oa")), "a", "left").join(own.select(F.col("label").alias("b"), F.col("o").alias("ob")), "b", "left")
