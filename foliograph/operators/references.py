@@ -55,7 +55,7 @@ def _split_authors(text: str) -> tuple[str, str]:
         if m[0].startswith(".."):
             return before + ".", after
         single = len(last.strip(",.")) == 1
-        if single and regex.match(r"(?:\p{Lu}\.\s*)*(?:\p{Lu}[\p{L}’'-]+(?:\s\p{Lu}{1,3})?(?:,|\s*$)|\p{Lu}\.|et al)", after):
+        if single and regex.match(r"(?:\p{Lu}\.\s*)*(?:\p{Lu}[\p{L}’'-]+(?:\s\p{Lu}{1,3})?(?:,|\s*$)|\p{Lu}\.|et al|&|and\s|und\s)", after):
             continue
         if len(before.split()) >= 2:
             return before, after
