@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import lru_cache
 from urllib.parse import unquote
 
@@ -23,8 +22,9 @@ def title_words(title: str | None) -> list[str]:
     """The words of a title, accentless and lower case, without mark-up; all scripts, look-alike letters resolved."""
     if not title:
         return []
-    t = unicodedata.normalize("NFKD", canonical(_TAG.sub("", title)) or "")
-    return _WORD.findall(fold(t).replace("μ", "m"))
+    if "<" in title:
+        title = _TAG.sub("", title)
+    return _WORD.findall(fold(canonical(title) or "").replace("μ", "m"))
 
 
 @lru_cache(maxsize=1 << 16)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 #: Short forms of given names, in everyday use.
@@ -30,10 +31,13 @@ PARTICLES = ("van der", "van den", "van de", "van", "von der", "von", "de la", "
 
 def fold(s: str) -> str:
     """Lower case without accents; letters that do not decompose get their usual base."""
-    s = unicodedata.normalize("NFKD", s.lower()).translate(_BASE)
-    return "".join(c for c in s if not unicodedata.combining(c))
+    s = s.lower()
+    if s.isascii():
+        return s
+    return _COMBINING.sub("", unicodedata.normalize("NFKD", s)).translate(_BASE)
 
 
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _BASE = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i"})
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from hashlib import blake2b
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from foliograph.llm.bibkeys import close, content, doi, full_forms, split_name, title_words
 from foliograph.llm.confusables import canonical
-from foliograph.llm.lexicon import fold
+from foliograph.llm.lexicon import fold, given_names
 from foliograph.session import cut
 
 #: Short forms of words in names of organisations.
@@ -37,6 +38,7 @@ ORG_SHORT = {
     "net": "network", "inst": "institute", "fdn": "foundation", "found": "foundation", "assoc": "association", "grp": "group", "gp": "group", "consort": "consortium",
     "collab": "collaboration", "coll": "collaboration", "ctr": "centre", "cent": "centre", "center": "centre", "soc": "society", "comm": "committee", "univ": "university", "lab": "laboratory", "res": "research", "wg": "working group", "org": "organisation",
 }
+_GIVEN = frozenset(given_names())
 _ACRONYM = re.compile(r"\s*([A-Z]{2,8})\s*\(([^()]{3,})\)\s*")
 
 
@@ -61,10 +63,10 @@ def place_keys(fam: str, giv: list[str], kind: str) -> list[str]:
     if kind != "p":
         return ["o"]
     keys = {f"f:{fam[:1]}"} if fam else set()
-    for g in giv[:2]:
-        keys |= {f"i:{x[0]}" for x in full_forms(g)}
-    if giv and len(giv[0]) > 2:  # family and given name may have been swapped
-        keys |= {f"f:{giv[0][0]}", f"i:{fam[:1]}"}
+    if giv:
+        keys.add(f"i:{giv[0][0]}")
+        if len(giv[0]) > 2 and giv[0] not in _GIVEN:  # family and given name may have been swapped
+            keys |= {f"f:{giv[0][0]}", f"i:{fam[:1]}"}
     return sorted(keys)
 
 
@@ -256,13 +258,15 @@ def _works(papers: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = keys.join(first, "key").select(F.col("item").alias("a"), "b")
     work = cut(components(p.select(F.col("item").alias("n")).distinct(), pairs).select(F.col("n").alias("item"), F.col("label").alias("work")))
     of_key = keys.join(work, "item").select("key", "work").distinct()
-    r = refs.select("n", _title_keys("title", "doi", "raw").alias("k"), "title", "raw").select("n", "k.keys", F.coalesce("k.ends", F.when(F.col("title").isNull() & F.col("raw").isNotNull(), _windows("raw"))).alias("runs"))
-    r = cut(r.select("n", "keys", "runs", F.xxhash64("n", "keys", "runs").alias("r")))
+    bare = F.when(F.col("doi").isNull(), F.col("raw"))
+    r = refs.select("n", _title_keys("title", "doi", bare).alias("k"), F.when(F.col("title").isNull(), F.col("raw")).alias("raw"))
+    r = r.select("n", "k.keys", F.coalesce("k.ends", F.when(F.col("raw").isNotNull(), _windows("raw"))).alias("runs"))
+    r = cut(r)
     cited = r.select("n", F.explode("keys").alias("key")).distinct().join(of_key, "key").select("n", "work")
     # both ends of a title stand in the reference's title or, where none was parsed, in its text
     ends = p.join(work, "item").select("work", F.posexplode("ends").alias("end", "key")).distinct()
-    runs = r.select("n", "r", F.explode("runs").alias("key"))
-    placed = runs.join(ends, "key").groupBy("n", "r", "work").agg(F.countDistinct("end").alias("ends")).where("ends = 2").select("n", "work")
+    runs = r.select("n", F.explode("runs").alias("key"))
+    placed = runs.join(ends, "key").groupBy("n", "work").agg(F.countDistinct("end").alias("ends")).where("ends = 2").select("n", "work")
     return work, cited.unionByName(placed).select("n", "work").distinct()
 
 
@@ -310,12 +314,18 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
     strong = _without_conflicts(strong, orcids)
     labels = components(spelled.select("n"), strong)
 
-    affil = occ.select("n", F.explode("affs").alias("aff")).select("n", _affiliation(F.col("aff")).alias("aff")).where(F.length("aff") > 5).distinct()
+    affil = occ.select("n", F.explode("affs").alias("aff")).select("n", _affiliation(F.col("aff")).alias("aff")).where(F.length("aff") > 5)
+    state = State(
+        labels,
+        cut(slots.join(labels, "n").select("label", "work").distinct()),
+        cut(affil.select("n", F.xxhash64("aff").alias("aff")).join(labels, "n").select("label", "aff").distinct()),
+        cut(shape.where("s.kind = 'p'").select("n", F.explode("keys").alias("key")).join(labels, "n").select("label", "key").distinct()),
+    )
     for _ in range(max_rounds):
-        merged = _rematch(labels, shape, slots, affil, orcids, clash)
-        if merged is None:
+        state, merged = _rematch(state, shape, orcids, clash)
+        if not merged:
             break
-        labels = merged
+    labels = state.labels
     return labels.select("n", F.col("label").alias("entity"))
 
 
@@ -326,6 +336,7 @@ def _pairs(df: DataFrame, by: str, of: str) -> DataFrame:
 
 def _alike(keyed: DataFrame) -> DataFrame:
     """(a, b, pos_a, pos_b) of names that share a slot and could be one: families within two slips, swapped, double, or organisations."""
+    keyed = keyed.repartition("slot")  # one exchange serves both sides
     x, y = (keyed.select("slot", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "pos", "fam", "g")]) for side in "ab")
     both = x.join(y, "slot").where("n_a < n_b")
     swapped = (F.levenshtein("fam_a", "g_b", 1) >= 0) | (F.levenshtein("fam_b", "g_a", 1) >= 0)
@@ -357,29 +368,57 @@ def _affiliation(aff: Column) -> Column:
 AFFILIATION = 1.5
 
 
-def _rematch(labels: DataFrame, shape: DataFrame, slots: DataFrame, affil: DataFrame, orcids: DataFrame, clash: DataFrame) -> DataFrame | None:
-    """One round: merged profiles are blocked again, each joins its best match; None if no two merge."""
-    spelled = labels.join(shape, "n")
-    profile = cut(spelled.groupBy("label").agg(F.collect_set("s").alias("s")))
-    keys = cut(spelled.where("s.kind = 'p'").select("label", F.explode("keys").alias("key")).distinct())
-    on = slots.join(labels, "n").select("label", "work").distinct()
-    # fellow authors as profiles; a profile's fellows are counted once however many works they share
-    fellow = on.join(on.select(F.col("label").alias("fellow"), "work"), "work").where("label <> fellow").select("label", "fellow").distinct()
+@dataclass
+class State:
+    """What rounds hand on: each name's profile, the profiles' works, affiliations and keys, and whom the next round looks at (None: all)."""
+
+    labels: DataFrame
+    on: DataFrame
+    affil: DataFrame
+    keys: DataFrame
+    active: DataFrame | None = None
+
+
+def _blocks(keys: DataFrame, fellow: DataFrame, affil: DataFrame, side: str) -> DataFrame:
+    """(block, tie, aff, side): a profile's name keys with each fellow author and affiliation."""
     ties = fellow.select("label", F.xxhash64("fellow").alias("tie"), F.lit(False).alias("aff")).unionByName(
-        affil.join(labels, "n").select("label", F.xxhash64("aff").alias("tie"), F.lit(True).alias("aff")).distinct()
+        affil.select("label", F.xxhash64("aff", F.lit("a")).alias("tie"), F.lit(True).alias("aff"))
     )
-    block = cut(keys.join(ties, "label").select("label", F.xxhash64("key", "tie").alias("block"), "tie", "aff"))
-    shared = block.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("block")
-    block = block.join(shared, "block", "left_semi")
-    pair = block.select("block", "tie", "aff", F.col("label").alias("a")).join(block.select("block", F.col("label").alias("b")), "block").where("a < b")
-    pair = pair.select("a", "b", "tie", "aff").distinct().groupBy("a", "b").agg(F.sum(F.when(F.col("aff"), AFFILIATION).otherwise(1.0)).alias("common"))
+    return keys.join(ties, "label").select(F.xxhash64("key", "tie").alias("block"), "tie", "aff", F.col("label").alias(side))
+
+
+def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -> tuple[State, bool]:
+    """One round: merged profiles are blocked again and each joins its best match; False if no two merge.
+
+    After the first round only pairs can be new in which one side was merged,
+    has a merged fellow author, or was put off for a better match.
+    """
+    on, who = st.on, st.active
+    # fellow authors as profiles; a profile's fellows are counted once however many works they share
+    mine = on if who is None else on.join(who, "label", "left_semi")
+    fellow = cut(mine.join(on.select(F.col("label").alias("fellow"), "work"), "work").where("label <> fellow").select("label", "fellow").distinct())
+    if who is None:
+        left = _blocks(st.keys, fellow, st.affil, "a").repartition("block")  # one exchange serves both sides
+        right = left.select("block", F.col("a").alias("b"))
+    else:
+        own = st.affil.join(who, "label", "left_semi")
+        left = _blocks(st.keys, fellow, own, "a")
+        via = on.join(fellow.select(F.col("fellow").alias("label")).distinct(), "label", "left_semi").select(F.col("label").alias("fellow"), "work")
+        theirs = on.join(via, "work").where("label <> fellow").select("label", "fellow").distinct()
+        right = _blocks(st.keys, theirs, st.affil.join(own.select("aff").distinct(), "aff", "left_semi"), "b")
+    pair = left.join(right.select("block", "b"), "block").where("a <> b" if who is not None else "a < b")
+    pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tie", "aff").distinct()
+    pair = pair.groupBy("a", "b").agg(F.sum(F.when(F.col("aff"), AFFILIATION).otherwise(1.0)).alias("common")).where("common >= 1")
     # never two authors of one record, never two ORCIDs
-    la, lb = labels.select(F.col("n").alias("a"), F.col("label").alias("la")), labels.select(F.col("n").alias("b"), F.col("label").alias("lb"))
-    clash = clash.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-    own = orcids.join(labels, "n").groupBy("label").agg(F.min("orcid").alias("o"))
-    pair = pair.join(clash, ["a", "b"], "left_anti")
+    la, lb = (st.labels.select(F.col("n").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    apart = clash.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    own = orcids.join(st.labels, "n").groupBy("label").agg(F.min("orcid").alias("o"))
+    pair = pair.join(apart, ["a", "b"], "left_anti")
     pair = pair.join(own.select(F.col("label").alias("a"), F.col("o").alias("oa")), "a", "left").join(own.select(F.col("label").alias("b"), F.col("o").alias("ob")), "b", "left")
-    pair = pair.where("oa IS NULL OR ob IS NULL OR oa = ob")
+    pair = cut(pair.where("oa IS NULL OR ob IS NULL OR oa = ob").select("a", "b", "common"))
+    met = pair.select(F.col("a").alias("label")).unionByName(pair.select(F.col("b").alias("label"))).distinct()
+    profile = st.labels.join(met, "label", "left_semi").join(shape.select("n", "s"), "n").groupBy("label").agg(F.collect_set("s").alias("s"))
+    profile = cut(profile)
     pair = pair.join(profile.select(F.col("label").alias("a"), F.col("s").alias("sa")), "a").join(profile.select(F.col("label").alias("b"), F.col("s").alias("sb")), "b")
     pair = pair.withColumn("fit", _best("sa", "sb")).select("a", "b", "common", "fit")
     # whole given names need one tie, initials two
@@ -391,9 +430,17 @@ def _rematch(labels: DataFrame, shape: DataFrame, slots: DataFrame, affil: DataF
     back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
     mutual = cut(best.join(back, ["a", "b"]).where("a < b"))
     if mutual.isEmpty():
-        return None
+        return st, False
     to = mutual.select(F.col("b").alias("label"), F.col("a").alias("to"))
-    return cut(labels.join(to, "label", "left").select("n", F.coalesce("to", "label").alias("label")))
+
+    def moved(df: DataFrame) -> DataFrame:
+        return cut(df.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to").distinct())
+
+    grown = mutual.select(F.col("a").alias("label"))
+    put_off = moved(pair.select(F.col("a").alias("label")).unionByName(pair.select(F.col("b").alias("label"))).distinct())
+    near = moved(fellow.join(mutual.select(F.col("a").alias("fellow")).unionByName(mutual.select(F.col("b").alias("fellow"))), "fellow", "left_semi").select("label").distinct())
+    active = cut(grown.unionByName(put_off).unionByName(near).distinct())
+    return State(moved(st.labels), moved(on), moved(st.affil), moved(st.keys), active), True
 
 
 def entity_pairs(entities: DataFrame) -> DataFrame:
