@@ -36,3 +36,9 @@ def fresh_entries(entries: DataFrame, key: list[str], at: str, days: int, now) -
 def queue_upsert(events: DataFrame, key: str, order: str, status: str) -> DataFrame:
     """(key, times, status, added): a keyed queue after all events; the last event sets the status, the first the time of entry."""
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("times"), F.max_by(status, F.col(order)).alias("status"), F.min(order).alias("added"))
+
+
+def retained(old: DataFrame, new: DataFrame, key: str, ok: str, value: str) -> DataFrame:
+    """(key, value): the new value where its reading succeeded, else the old one; a failed refresh erases nothing."""
+    o, n = old.select(key, F.col(value).alias("_old")), new.select(key, F.when(F.col(ok), F.col(value)).alias("_new"))
+    return o.join(n, key, "full").select(key, F.coalesce("_new", "_old").alias(value))

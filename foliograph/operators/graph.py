@@ -218,3 +218,14 @@ def communities_incremental(edges: DataFrame, before_edges: DataFrame, before: D
     kind = dict(edges.dtypes)["a"]
     fresh = placed.groupBy("component").applyInPandas(solve, f"node {kind}, community {kind}, component {kind}")
     return reused.unionByName(fresh)
+
+
+def overview(groups: DataFrame, edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """(community, members, papers, representative): the representative has most papers, then most neighbours, then the least id."""
+    deg = both_ways(edges.select("a", "b")).groupBy(F.col("a").alias("node")).agg(F.countDistinct("b").alias("degree"))
+    own = papers.select("item_id", F.explode("creators.name_id").alias("node")).where("node IS NOT NULL").distinct()
+    n = own.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    m = groups.join(deg, "node", "left").join(n, "node", "left")
+    whole = groups.join(own, "node").groupBy("community").agg(F.countDistinct("item_id").alias("papers"))
+    best = F.max_by("node", F.struct(F.coalesce("n", F.lit(0)), F.coalesce("degree", F.lit(0)), -F.col("node")))
+    return m.groupBy("community").agg(F.count(F.lit(1)).alias("members"), best.alias("representative")).join(whole, "community", "left")

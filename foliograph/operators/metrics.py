@@ -52,3 +52,37 @@ def lookup(journals: DataFrame, metrics: DataFrame) -> DataFrame:
     return j.select("journal_id").join(top, "journal_id", "left").select(
         "journal_id", status.alias("status"), "metric_year", F.when(status == "available", F.col("jif")).alias("jif"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits")
     )
+
+
+def checked_import(metrics: DataFrame) -> DataFrame:
+    """The merged rows, or an error that aborts the whole import if any of them conflicts or any row lacks ISSN or source."""
+    rows = merged(metrics)
+    bad = rows.where("conflict").count()
+    bare = metrics.where("source IS NULL OR trim(source) = ''").count() + metrics.select("metric_id").distinct().join(metric_issns(metrics), "metric_id", "left_anti").count()
+    if bad or bare:
+        raise ValueError(f"import refused: {bad} conflicting and {bare} incomplete rows")
+    return rows.drop("conflict")
+
+
+OFFLINE = (
+    "schema INT, history MAP<STRING, STRUCT<meta: STRUCT<journalName: STRING, issn: STRING, eissn: STRING>, "
+    "dataByYear: ARRAY<STRUCT<jcrYear: INT, jif: STRING, category: ARRAY<STRUCT<category: STRING, quartile: STRING>>>>>>, aliases ARRAY<STRUCT<journal: STRING, issn: STRING>>"
+)
+
+
+def offline_package(texts: DataFrame, json: str = "json") -> DataFrame:
+    """(journal, issn, names, year, jif, jif_bound, categories): '<0.1' becomes a bound, 'N/A' null; alias ISSNs add their names."""
+    p = texts.select(F.from_json(json, OFFLINE).alias("p"))
+    j = p.select(F.explode(F.map_entries("p.history")).alias("e")).select(F.col("e.value.meta").alias("m"), F.explode("e.value.dataByYear").alias("y"))
+    issns = F.array_distinct(F.filter(F.array(ids.issn(F.col("m.issn")), ids.issn(F.col("m.eissn"))), lambda x: x.isNotNull()))
+    rows = j.select(F.col("m.journalName").alias("journal"), issns.alias("issn"), F.col("y.jcrYear").alias("year"), F.col("y.jif").try_cast("double").alias("jif"),
+                    F.when(F.col("y.jif").startswith("<"), F.col("y.jif")).alias("jif_bound"), F.col("y.category").alias("categories"))
+    alias = p.select(F.explode("p.aliases").alias("a")).select(ids.issn(F.col("a.issn")).alias("i"), F.col("a.journal").alias("name")).where("i IS NOT NULL")
+    names = rows.select("journal", F.explode("issn").alias("i")).join(alias, "i").groupBy("journal").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return rows.join(names, "journal", "left")
+
+
+def choose(values: DataFrame, key: str, signature: list[str]) -> DataFrame:
+    """(key, status, n) of metric values from several places: equal ones count once, several distinct ones are ambiguous."""
+    n = values.select(key, *signature).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(key, F.when(F.col("n") == 1, "available").otherwise("ambiguous").alias("status"), "n")

@@ -82,3 +82,19 @@ def extra_metrics(rows: DataFrame, key: str, extra: str) -> DataFrame:
     pair = line.select(key, F.lower(F.trim(F.regexp_extract("line", r"^\s*([^:：]{1,60})[:：]", 1))).alias("field"), F.trim(F.regexp_extract("line", r"[:：](.*)$", 1)).alias("value"))
     pair = pair.where((F.col("field") != "") & (F.col("value") != "")).distinct()
     return pair.groupBy(key, "field").agg(F.when(F.count(F.lit(1)) == 1, F.min("value")).alias("value"))
+
+
+PUBMED = (
+    "MedlineCitation STRUCT<PMID: STRING, Article: STRUCT<ArticleTitle: STRING, Journal: STRUCT<Title: STRING, ISSN: STRING, JournalIssue: STRUCT<PubDate: STRUCT<Year: STRING>>>, "
+    "Abstract: STRUCT<AbstractText: ARRAY<STRING>>, AuthorList: STRUCT<Author: ARRAY<STRUCT<LastName: STRING, ForeName: STRING>>>>>"
+)
+
+
+def pubmed(articles: DataFrame, xml: str = "xml") -> DataFrame:
+    """(pmid, title, journal, issn, year, abstract, creators) of PubMed article elements."""
+    m = articles.select(F.from_xml(xml, PUBMED).alias("m")).select(F.col("m.MedlineCitation.PMID").alias("pmid"), F.col("m.MedlineCitation.Article").alias("a"))
+    return m.select(
+        "pmid", text.plain_title(F.col("a.ArticleTitle")).alias("title"), F.col("a.Journal.Title").alias("journal"), ids.issn(F.col("a.Journal.ISSN")).alias("issn"),
+        ids.year(F.col("a.Journal.JournalIssue.PubDate.Year")).alias("year"), F.array_join("a.Abstract.AbstractText", " ").alias("abstract"),
+        F.transform("a.AuthorList.Author", lambda x: F.struct(x["ForeName"].alias("first_name"), x["LastName"].alias("last_name"))).alias("creators"),
+    )
