@@ -160,7 +160,12 @@ def _case(s: str) -> str:
     return "l" if letters and all(c.islower() for c in letters) else "c"
 
 
+_WORDS = regex.compile(r"\p{L}+(?:-\p{L}+)*")
+
+
 def _names(v: str) -> Iterator[tuple[int, int]]:
+    # a text without any listed given name need not be searched for one
+    known = not _GIVEN.isdisjoint(_WORDS.findall(v.lower()))
     for m in _TITLED.finditer(v):
         n = m["n"]
         last = n.split()[-1]
@@ -172,7 +177,7 @@ def _names(v: str) -> Iterator[tuple[int, int]]:
             yield m.start("n"), m.start("n") + len(words[0])
         else:
             yield m.start("n"), m.end("rest")
-    for m in _FULL.finditer(v):
+    for m in _FULL.finditer(v) if known else ():
         g, s = m["g"], m["s"]
         cg, cs = _case(g), _case(s)
         if fold(s) in _STOP:
@@ -184,7 +189,7 @@ def _names(v: str) -> Iterator[tuple[int, int]]:
         if cg == "u" and len(g) > 1 and cs == "l":
             continue
         yield m.start("n"), m.end("n")
-    for m in _REVERSED.finditer(v):
+    for m in _REVERSED.finditer(v) if known else ():
         g, s = m["g"], m["s"]
         if fold(s) in _NO_SURNAME:
             continue
