@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliograph-"))
     done = df.checkpoint(eager=True)
+    if not hasattr(spark, "_jsparkSession"):
+        return done
     leaf = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
     return type(done)(leaf, spark)
 
 
+def release(df: DataFrame) -> None:
+    """Let go of what earlier rounds of an iteration left behind.
+
+    Spark deletes shuffle files and checkpoints of frames that are out of reach
+    only once the driver's JVM has collected them, which an iteration of small
+    plans may put off for long.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast of a materialised `df` only after measuring that it fits `limit`.
 
