@@ -86,7 +86,7 @@ _ID = regex.compile(
 # --- telephone numbers --------------------------------------------------------------------------------------------
 _EXT = r"(?P<ext>[ ,]{0,2}(?:ext\.?|x|extension|poste|Durchwahl)[ ]?\d{1,5})?"
 _PHONE = regex.compile(
-    r"(?<![\w.:–-]|\d[ /])(?:"
+    r"(?<![\w.:–-])(?:(?=\+)|(?<!\d[ /]))(?:"
     + "|".join([
         r"(?:\+|\(\+|00)\d{1,3}\)?(?:[ ./-]?\(0\))?(?:[ ./-]?\(?\d{1,12}\)?){1,6}",  # international
         r"(?:1[ .-])?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}", r"(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}", r"555[ .-]\d{4}",  # 3-3-4
@@ -106,11 +106,11 @@ _CAP = r"\p{Lu}[\p{L}’'-]+"
 _TOWN = r"\p{Lu}\p{Ll}[\p{L}’'-]*"
 _EN_STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Drive|Dr|Court|Ct|Square|Sq|Way|Terrace|Place|Pl|Crescent|Boulevard|Blvd|Row|Gardens|Hill|Park|Grove|Walk|Mews)\b\.?"
 _ADDRESS = [
+    regex.compile(rf"(?<![\w-])(?:P\.?[ ]?O\.?[ ]?Box|P\.?O\.?[ ]?BOX|PO[ ]Box|Post[ ][Oo]ffice[ ]Box|Postfach|B\.?P\.?|[Bb]oîte[ ]postale|Apartado(?:[ ]de[ ][Cc]orreos)?|Apdo\.?(?:[ ]de[ ][Cc]orreos)?)[ ](?:n[.º°o]+[ ]?)?\d+(?:[ ]\d+)*(?:,[ ](?:(?:\p{{Lu}}-)?\d{{4,5}}[ ])?{_TOWN}(?:[ ]Cedex)?)?"),
     regex.compile(
         rf"(?<![\w.,-])(?:(?:Flat|Apt\.?|Apartment|Suite|Unit|Room)[ ]\d+[A-Za-z]?,[ ]|)\d{{1,4}}[A-Za-z]?,?[ ]{_CAP}(?:[ ]{_CAP})?[ ]{_EN_STREET}"
         rf"(?:,[ ](?:Flat|Apt\.?|Apartment|Suite|Unit)[ ]\d+[A-Za-z]?)?(?:,[ ]{_TOWN})?(?:,?[ ](?:\p{{Lu}}{{1,2}}\d{{1,2}}[A-Z]?[ ]\d\p{{Lu}}{{2}}|\p{{Lu}}{{2}}[ ]\d{{5}}(?:-\d{{4}})?))?"
     ),
-    regex.compile(rf"(?<![\w-])(?:P\.?[ ]?O\.?[ ]?Box|P\.?O\.?[ ]?BOX|PO[ ]Box|Post[ ][Oo]ffice[ ]Box|Postfach|B\.?P\.?|[Bb]oîte[ ]postale|Apartado(?:[ ]de[ ][Cc]orreos)?|Apdo\.?(?:[ ]de[ ][Cc]orreos)?)[ ](?:n[.º°o]+[ ]?)?\d+(?:[ ]\d+)*(?:,[ ](?:(?:\p{{Lu}}-)?\d{{4,5}}[ ])?{_TOWN}(?:[ ]Cedex)?)?"),
     regex.compile(
         rf"(?<![\w-])(?:\p{{Lu}}\p{{L}}+(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm|steig|pfad|chaussee)|(?:Am|An der|Im|Auf der|Zum|Zur)[ ]{_CAP}|{_CAP}[ ](?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee))"
         rf"[ ]\d{{1,4}}[ ]?[a-z]?\b(?:,[ ](?:D-|A-|CH-)?\d{{4,5}}[ ]{_TOWN})?"
@@ -241,6 +241,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
         at = b
         if 7 <= len(_digits(bare)) <= most and free(a, b):
             taken.append((a, b, "phone"))
+    if "\n" in text:  # a number that opens a line after another number
+        hard = "".join("\n" if c == " " and text[p] == "\n" else c for c, p in zip(v, place))
+        for m in _PHONE.finditer(hard):
+            if 7 <= len(_digits(m[0])) <= LONGEST_PHONE and free(*m.span()):
+                taken.append((*m.span(), "phone"))
     for m in _CUED.finditer(v):
         if 6 <= len(_digits(m["n"])) <= 15 and free(*m.span("n")):
             taken.append((*m.span("n"), "phone"))
