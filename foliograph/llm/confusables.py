@@ -64,6 +64,7 @@ def _fold_table() -> dict[int, str | None]:
 
 
 _FOLD = _fold_table()
+_FOLDED = frozenset(map(chr, _FOLD))
 _OTHER = re.compile("[Ͱ-ԯἀ-῿]")
 _TOKEN = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[̀-ͯ])*")
 
@@ -100,7 +101,9 @@ def canonical(text: str | None) -> str | None:
         return None
     if text.isascii() and text.isprintable():
         return " ".join(text.split())
-    text = unicodedata.normalize("NFC", text.translate(_FOLD))
+    if not _FOLDED.isdisjoint(text):
+        text = text.translate(_FOLD)
+    text = unicodedata.normalize("NFC", text)
     if _OTHER.search(text):
         spans = [(m.start(), m.end(), _scripts(m[0])) for m in _TOKEN.finditer(text)]
         sure = [next(iter(s)) if len(s) == 1 else None for _, _, s in spans]

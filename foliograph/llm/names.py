@@ -17,7 +17,6 @@ profiles with different ORCIDs, and two authors of one record.
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,11 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from foliograph.llm.bibkeys import close, content, doi, full_forms, split_name, title_words
 from foliograph.llm.confusables import canonical
 from foliograph.llm.lexicon import fold, given_names
-from foliograph.session import cut
+from foliograph.session import cut, release
 
 #: Short forms of words in names of organisations.
 ORG_SHORT = {
@@ -181,6 +181,16 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["n", "fam", "giv", "kind", "places", "keys"])
 
 
+@lru_cache(maxsize=1 << 16)
+def _parts(given: str) -> tuple[str, ...]:
+    return tuple(given.split())
+
+
+@F.pandas_udf(T.IntegerType())
+def _fit(fa: pd.Series, ga: pd.Series, ka: pd.Series, fb: pd.Series, gb: pd.Series, kb: pd.Series) -> pd.Series:
+    return pd.Series([compatible((f, _parts(g), k), (h, _parts(i), m)) for f, g, k, h, i, m in zip(fa, ga, ka, fb, gb, kb)], dtype="int32")
+
+
 @F.pandas_udf(T.IntegerType())
 def _best(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best agreement of any spelling of one profile with any of the other."""
@@ -204,7 +214,7 @@ _DIGEST = T.ArrayType(T.LongType())
 
 
 def _digest(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+    return xxh3_64_intdigest(text) - (1 << 63)
 
 
 @F.pandas_udf(T.StructType([T.StructField("keys", _DIGEST), T.StructField("ends", _DIGEST)]))
@@ -280,10 +290,10 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
     """
     spelled = names.where(F.col("name_id").isNotNull()).select(F.col("name_id").cast("bigint").alias("n"), "first_name", "last_name").distinct()
     spelled = spelled.mapInPandas(_parse_batches, "n bigint, fam string, giv array<string>, kind string, places array<string>, keys array<string>")
-    spelled = cut(spelled.dropDuplicates(["n"]))
+    spelled = cut(spelled)
     held = papers.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item"), "title", "doi", "creators")
     occ = held.select("item", F.posexplode("creators").alias("pos", "c")).select("item", "pos", F.col("c.name_id").cast("bigint").alias("n"), F.col("c.orcid").alias("orcid"), F.col("c.email").alias("email"), F.col("c.affiliations").alias("affs"))
-    occ = cut(occ.where(F.col("n").isNotNull()).dropDuplicates(["item", "pos", "n"]))
+    occ = cut(occ.where(F.col("n").isNotNull()))
     cites = refs.where(F.col("author_name_id").isNotNull()).select(F.col("author_name_id").cast("bigint").alias("n"), "title", "doi", "raw")
     work, cited = _works(held.select("item", "title", "doi"), cites)
     slots = cut(occ.join(work, "item").select("n", "work", "pos").unionByName(cited.select("n", "work", F.lit(0).alias("pos"))).distinct())
@@ -312,7 +322,8 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
 
     strong = by_id.unionByName(agreed.select("a", "b")).unionByName(named.select("a", "b"))
     strong = _without_conflicts(strong, orcids)
-    labels = components(spelled.select("n"), strong)
+    labels = components(spelled.select("n").distinct(), strong)
+    release(names)
 
     affil = occ.select("n", F.explode("affs").alias("aff")).select("n", _affiliation(F.col("aff")).alias("aff")).where(F.length("aff") > 5)
     state = State(
@@ -325,6 +336,7 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
         state, merged = _rematch(state, shape, orcids, clash)
         if not merged:
             break
+        release(names)
     labels = state.labels
     return labels.select("n", F.col("label").alias("entity"))
 
@@ -347,8 +359,9 @@ def _alike(keyed: DataFrame) -> DataFrame:
 
 def _agreement(pairs: DataFrame, shape: DataFrame) -> DataFrame:
     """pairs (a, b, ...) of names with `fit`, the agreement of their spellings."""
-    p = pairs.join(shape.select(F.col("n").alias("a"), F.array("s").alias("sa")), "a").join(shape.select(F.col("n").alias("b"), F.array("s").alias("sb")), "b")
-    return p.withColumn("fit", _best("sa", "sb")).drop("sa", "sb")
+    x, y = (shape.select(F.col("n").alias(c), F.col("s.fam").alias(f"f{c}"), F.array_join("s.giv", " ").alias(f"g{c}"), F.col("s.kind").alias(f"k{c}")) for c in "ab")
+    p = pairs.join(x, "a").join(y, "b").withColumn("fit", _fit("fa", "ga", "ka", "fb", "gb", "kb"))
+    return p.drop("fa", "ga", "ka", "fb", "gb", "kb")
 
 
 def _without_conflicts(edges: DataFrame, orcids: DataFrame) -> DataFrame:
@@ -434,7 +447,8 @@ def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -
     to = mutual.select(F.col("b").alias("label"), F.col("a").alias("to"))
 
     def moved(df: DataFrame) -> DataFrame:
-        return cut(df.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to").distinct())
+        # the few rows that now agree may stay: what is made of them is made distinct
+        return cut(df.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
 
     grown = mutual.select(F.col("a").alias("label"))
     put_off = moved(pair.select(F.col("a").alias("label")).unionByName(pair.select(F.col("b").alias("label"))).distinct())
