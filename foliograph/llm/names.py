@@ -70,8 +70,24 @@ def place_keys(fam: str, giv: list[str], kind: str) -> list[str]:
     return sorted(keys)
 
 
+def _shortened(word: str, most: int) -> set[str]:
+    """A word with up to so many letters left out."""
+    out = {word}
+    for _ in range(most):
+        out |= {w[:k] + w[k + 1 :] for w in out for k in range(len(w))}
+    return out
+
+
+def _flat(fam: str) -> str:
+    return fam.replace("oe", "o").replace("ue", "u").replace("ae", "a")
+
+
 def name_keys(fam: str, giv: list[str], kind: str) -> list[str]:
-    """Keys for names at large, one of which most slips in a name leave as it is."""
+    """Keys for names at large: any two families or organisations that `compatible` accepts have one in common.
+
+    A slip is undone by leaving out one letter on either side, so families
+    within two slips agree once two letters are left out.
+    """
     if kind == "a":
         return sorted({f"o:{''.join(sorted(x))}:{giv[0]}" for x in (fam, fam.removesuffix("g"))})
     if kind == "o":
@@ -80,12 +96,21 @@ def name_keys(fam: str, giv: list[str], kind: str) -> list[str]:
         return [f"o:{letters}:{x}" for x in set(w)] + [f"o2:{a} {b}" for a, b in combinations(sorted(set(w)), 2)]
     if not fam:
         return []
-    firsts = {x[0] for x in full_forms(giv[0])} if giv else {""}
-    if len(giv) > 1 and len(giv[1]) == 1:
-        firsts |= {giv[1]}
-    if len(fam) <= 7:  # a slip in a short name may spoil both ends
-        return sorted(f"b:{i}:{fam[0]}{fam[-1]}" for i in firsts)
-    return sorted({f"p:{i}:{fam[:3]}" for i in firsts} | {f"s:{i}:{fam[-3:]}" for i in firsts})
+    keys = _shortened(fam, 1 if len(fam) < 7 else 2)
+    for part in fam.split("-") if "-" in fam else []:
+        if len(part) > 3:
+            keys |= _shortened(part, 1)
+    return sorted(keys | {f"u:{_flat(fam)}"})
+
+
+def half_keys(word: str) -> list[str]:
+    """Beginnings and ends, of which two words within one slip have one in common."""
+    out = set()
+    for n in (len(word), len(word) - 1):  # the shorter word's length counts
+        p = max(0, n - 1) // 2
+        q = max(0, n - 1) - p
+        out |= {f"{n}<{word[:p]}", f"{n}>{word[len(word) - q :]}"}
+    return sorted(out)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -127,8 +152,7 @@ def _families(a: str, b: str) -> int:
         x, y = a.split("-"), b.split("-")
         if any(close(p, q, 1) for p in x for q in y if min(len(p), len(q)) > 3):
             return 1
-    flat = [s.replace("oe", "o").replace("ue", "u").replace("ae", "a") for s in (a, b)]
-    return 1 if flat[0] == flat[1] else 0
+    return 1 if _flat(a) == _flat(b) else 0
 
 
 def _organisations(a: str, b: str) -> int:
@@ -177,7 +201,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for n, f, l in zip(b["n"], b["first_name"], b["last_name"]):
             fam, giv, kind = parse(f, l)
-            rows.append((n, fam, giv, kind, place_keys(fam, giv, kind), name_keys(fam, giv, kind)))
+            rows.append((n, fam, giv, kind, place_keys(fam, giv, kind), name_keys(fam, giv, kind) if kind != "p" else []))
         yield pd.DataFrame(rows, columns=["n", "fam", "giv", "kind", "places", "keys"])
 
 
@@ -246,6 +270,46 @@ def _windows(raw: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(_DIGEST)
+def _family_digests(fam: pd.Series) -> pd.Series:
+    return pd.Series([[_digest(k) for k in name_keys(f, [], "p")] for f in fam])
+
+
+@F.pandas_udf(T.BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_families(x, y) > 0 for x, y in zip(a, b)], dtype=bool)
+
+
+@F.pandas_udf(_DIGEST)
+def _half_digests(fam: pd.Series, given: pd.Series) -> pd.Series:
+    return pd.Series([[_digest(f"{x}|{y}") for x in half_keys(f) for y in half_keys(g)] for f, g in zip(fam, given)])
+
+
+@F.pandas_udf(T.BooleanType())
+def _crossed(fa: pd.Series, ga: pd.Series, fb: pd.Series, gb: pd.Series) -> pd.Series:
+    return pd.Series([close(f, i, 1) and close(h, g, 1) for f, g, h, i in zip(fa, ga, fb, gb)], dtype=bool)
+
+
+def _person_keys(shape: DataFrame) -> DataFrame:
+    """(n, key): any two names of people whose families agree, or that agree with family and given name swapped, share a key.
+
+    Distinct families are compared once, not under every fellow author: a family
+    is a key of itself and of the families after it that agree with it.
+    """
+    own = cut(shape.where("s.kind = 'p' AND s.fam <> ''").select("n", F.col("s.fam").alias("fam"), F.get("s.giv", F.lit(0)).alias("g")))
+    fams = own.select("fam").distinct()
+    forms = cut(fams.select("fam", F.explode(_family_digests("fam")).alias("form")).repartition("form"))
+    both = forms.join(forms.select("form", F.col("fam").alias("later")), "form").where("fam < later").select("fam", "later").distinct()
+    near = both.where(_near("fam", "later"))
+    keys = fams.select("fam", F.xxhash64("fam").alias("key")).unionByName(near.select(F.col("later").alias("fam"), F.xxhash64("fam").alias("key")))
+    spelled = own.where("length(g) > 1").select("fam", "g").distinct()
+    sides = [spelled.select(F.col("fam").alias(f"f{c}"), F.col("g").alias(f"g{c}"), F.explode(_half_digests(*order)).alias("half")) for c, order in (("a", ("fam", "g")), ("b", ("g", "fam")))]
+    swap = sides[0].join(sides[1], "half").where("greatest(length(ga), length(gb)) > 2 AND (fa, ga) < (fb, gb)").select("fa", "ga", "fb", "gb").distinct()
+    swap = cut(swap.where(_crossed("fa", "ga", "fb", "gb")).withColumn("key", F.xxhash64("fa", "ga", F.lit("swap"))))
+    swap = swap.select(F.col("fa").alias("fam"), F.col("ga").alias("g"), "key").unionByName(swap.select(F.col("fb").alias("fam"), F.col("gb").alias("g"), "key")).distinct()
+    return own.join(keys, "fam").select("n", "key").unionByName(own.join(swap, ["fam", "g"]).select("n", "key"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(n, label): the least node reachable from each node, by repeated minima and pointer jumps, checkpointed each round."""
     both = cut(edges.select(F.col("a"), F.col("b")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
@@ -330,7 +394,7 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
         labels,
         cut(slots.join(labels, "n").select("label", "work").distinct()),
         cut(affil.select("n", F.xxhash64("aff").alias("aff")).join(labels, "n").select("label", "aff").distinct()),
-        cut(shape.where("s.kind = 'p'").select("n", F.explode("keys").alias("key")).join(labels, "n").select("label", "key").distinct()),
+        cut(_person_keys(shape).join(labels, "n").select("label", "key").distinct()),
     )
     for _ in range(max_rounds):
         state, merged = _rematch(state, shape, orcids, clash)
@@ -393,7 +457,7 @@ class State:
 
 
 def _blocks(keys: DataFrame, fellow: DataFrame, affil: DataFrame, side: str) -> DataFrame:
-    """(block, tie, aff, side): a profile's name keys with each fellow author and affiliation."""
+    """(block, tie, aff, side): a profile's family keys with each fellow author and affiliation."""
     ties = fellow.select("label", F.xxhash64("fellow").alias("tie"), F.lit(False).alias("aff")).unionByName(
         affil.select("label", F.xxhash64("aff", F.lit("a")).alias("tie"), F.lit(True).alias("aff"))
     )

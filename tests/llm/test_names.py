@@ -43,3 +43,30 @@ def test_compatible():
     other = [(("Jana", "Méov"), ("Pedro", "Méov")), (("Ewa A.", "Jarnemire"), (None, "Jarnemire, E. B.")), (("Ewa", "Jarnemire"), (None, "Olnetal, E."))]
     assert all(N.compatible(p(*a), p(*b)) >= 2 for a, b in same)
     assert not any(N.compatible(p(*a), p(*b)) for a, b in other)
+
+
+def test_slips_in_short_and_swapped_names_meet_at_large(spark):
+    """Spellings that only fellow authors tie: slips across the length of 7, at both ends of a name, and swapped parts with a slip."""
+    pairs = [("Anna", "Korpeska", "Anna", "Korpeka"), ("Jun", "Yoong", "Jun", "Yoogn"), ("Mina", "Darberg", "Mina", "Daarberg"), ("Ivo", "Xarnemirez", "Ivo", "Jarnemires"), ("Selmo", "Tovanik", "Tovanki", "Selmo"), ("Ugo", "Talvor-Merentes", "Ugo", "Merentez")]
+    names, papers = [(1, "Ewa", "Olnetal", 0), (2, "Pedro", "Ligande", 0)], []
+    for k, (fa, la, fb, lb) in enumerate(pairs):
+        names += [(10 * k + 10, fa, la, 0), (10 * k + 11, fb, lb, 0)]
+        papers += [(2 * k + i, f"Work {k} {i} on Gfr{k}{i} in mouse lens fibres", None, [c(10 * k + 10 + i), c(1), c(2)]) for i in (0, 1)]
+    assert groups(spark, names, papers, []) == [[1], [2]] + [[10 * k + 10, 10 * k + 11] for k in range(len(pairs))]
+
+
+def test_keys_meet_where_families_agree():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(2, 10)))
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(len(b)) if b else 0
+            b[k : k + rng.randint(0, 2)] = rng.choice(["", "x", *b[k : k + 2][::-1]])
+        b = "".join(b)
+        if b and N._families(a, b):
+            assert set(N.name_keys(a, [], "p")) & set(N.name_keys(b, [], "p")), (a, b)
+        if b and N.close(a, b, 1):
+            assert set(N.half_keys(a)) & set(N.half_keys(b)), (a, b)
