@@ -215,21 +215,38 @@ def _fit(fa: pd.Series, ga: pd.Series, ka: pd.Series, fb: pd.Series, gb: pd.Seri
     return pd.Series([compatible((f, _parts(g), k), (h, _parts(i), m)) for f, g, k, h, i, m in zip(fa, ga, ka, fb, gb, kb)], dtype="int32")
 
 
+def _agree(sx: set[tuple], sy: set[tuple]) -> int:
+    """The best agreement of any spelling of one profile with any of the other."""
+    full_x = {s[1] for s in sx if s[2] == "p" and s[1] and len(s[1][0]) > 2}
+    full_y = {s[1] for s in sy if s[2] == "p" and s[1] and len(s[1][0]) > 2}
+    best = max((compatible(p, q) for p in sx for q in sy), default=0)
+    # whole given names on both sides, none of which agree: two people who share initials
+    if best and full_x and full_y and not any(_given_level(p, q) for p in full_x for q in full_y) and not any(p[0] == s[0] for p in full_x for s in sy) and not any(q[0] == s[0] for q in full_y for s in sx):
+        return 0
+    return best
+
+
+def _spellings(x) -> set[tuple]:
+    return {(s["fam"], tuple(s["giv"]), s["kind"]) for s in x}
+
+
 @F.pandas_udf(T.IntegerType())
 def _best(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The best agreement of any spelling of one profile with any of the other."""
-    out = []
-    for x, y in zip(a, b):
-        sx = [(s["fam"], tuple(s["giv"]), s["kind"]) for s in x]
-        sy = [(s["fam"], tuple(s["giv"]), s["kind"]) for s in y]
-        full_x = {s[1] for s in sx if s[2] == "p" and s[1] and len(s[1][0]) > 2}
-        full_y = {s[1] for s in sy if s[2] == "p" and s[1] and len(s[1][0]) > 2}
-        best = max((compatible(p, q) for p in sx for q in sy), default=0)
-        # whole given names on both sides, none of which agree: two people who share initials
-        if best and full_x and full_y and not any(_given_level(p, q) for p in full_x for q in full_y) and not any(p[0] == s[0] for p in full_x for s in sy) and not any(q[0] == s[0] for q in full_y for s in sx):
-            best = 0
-        out.append(best)
-    return pd.Series(out, dtype="int32")
+    return pd.Series([_agree(_spellings(x), _spellings(y)) for x, y in zip(a, b)], dtype="int32")
+
+
+def _gather(b: pd.DataFrame) -> pd.DataFrame:
+    """Of a pair that merges and the profiles whose best match is one of the two: who may join, the best first, each compared with all that joined before."""
+    b = b.sort_values(["score", "label"], ascending=[False, True])
+    inside, spelled, orcid = [], set(), None
+    for label, fit, s, o, apart in zip(b["label"], b["fit"], b["s"], b["o"], b["apart"]):
+        s = _spellings(s)
+        if fit >= 0 and (o and orcid and o != orcid or apart is not None and not set(inside).isdisjoint(apart) or _agree(spelled, s) < fit):
+            continue
+        inside.append(label)
+        spelled |= s
+        orcid = orcid or o
+    return pd.DataFrame({"label": inside, "to": min(inside)})
 
 
 #: Words of a title's beginning and end that place it in a reference typed as one text.
@@ -344,7 +361,7 @@ def _works(papers: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return work, cited.unionByName(placed).select("n", "work").distinct()
 
 
-def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: bool = True, max_rounds: int = 12) -> DataFrame:
+def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: bool = True) -> DataFrame:
     """(n, entity): one row per stored name; names of one entity share `entity`, the least of its ids.
 
     names: name_id, first_name, last_name. papers: item_id, title, doi,
@@ -396,7 +413,7 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
         cut(affil.select("n", F.xxhash64("aff").alias("aff")).join(labels, "n").select("label", "aff").distinct()),
         cut(_person_keys(shape).join(labels, "n").select("label", "key").distinct()),
     )
-    for _ in range(max_rounds):
+    while True:
         state, merged = _rematch(state, shape, orcids, clash)
         if not merged:
             break
@@ -467,6 +484,10 @@ def _blocks(keys: DataFrame, fellow: DataFrame, affil: DataFrame, side: str) ->
 def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -> tuple[State, bool]:
     """One round: merged profiles are blocked again and each joins its best match; False if no two merge.
 
+    Two profiles that are each other's best match merge, and those whose best
+    match is one of the two join them where identifiers, records and spellings
+    of all that joined allow it.
+
     After the first round only pairs can be new in which one side was merged,
     has a merged fellow author, or was put off for a better match.
     """
@@ -489,7 +510,7 @@ def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -
     # never two authors of one record, never two ORCIDs
     la, lb = (st.labels.select(F.col("n").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
     apart = clash.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-    own = orcids.join(st.labels, "n").groupBy("label").agg(F.min("orcid").alias("o"))
+    own = cut(orcids.join(st.labels, "n").groupBy("label").agg(F.min("orcid").alias("o")))
     pair = pair.join(apart, ["a", "b"], "left_anti")
     pair = pair.join(own.select(F.col("label").alias("a"), F.col("o").alias("oa")), "a", "left").join(own.select(F.col("label").alias("b"), F.col("o").alias("ob")), "b", "left")
     pair = cut(pair.where("oa IS NULL OR ob IS NULL OR oa = ob").select("a", "b", "common"))
@@ -501,22 +522,36 @@ def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -
     # whole given names need one tie, initials two
     pair = cut(pair.where((F.col("fit") >= 5) & (F.col("common") >= 1) | (F.col("fit") == 4) & (F.col("common") >= 1.5) | (F.col("fit") == 3) & (F.col("common") >= 2.5)))
     score = F.col("common") + 2 * F.col("fit")
-    both = pair.select("a", "b", score.alias("score")).unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), score.alias("score")))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
-    # mutual best only: each merge joins two profiles whose identifiers were compared
+    # no two pairs rank alike: equal scores are drawn by a hash, so that of many profiles alike a share merges in each round
+    rank = F.struct(score.alias("score"), F.xxhash64("a", "b").alias("draw"), F.col("a").alias("x"), F.col("b").alias("y"), "fit").alias("rank")
+    both = pair.select("a", "b", rank).unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), rank))
+    best = cut(both.groupBy("a").agg(F.max_by("b", "rank").alias("b"), F.max("rank").alias("rank")))
     back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    mutual = cut(best.join(back, ["a", "b"]).where("a < b"))
+    mutual = cut(best.select("a", "b").join(back, ["a", "b"]).where("a < b"))
     if mutual.isEmpty():
         return st, False
-    to = mutual.select(F.col("b").alias("label"), F.col("a").alias("to"))
+    # profiles whose best match merges join it in the same round
+    core = mutual.select("a", F.col("a").alias("hub")).unionByName(mutual.select(F.col("b").alias("a"), F.col("a").alias("hub")))
+    more = best.join(core.select("a"), "a", "left_anti").join(core.select(F.col("a").alias("b"), "hub"), "b")
+    more = cut(more.select("hub", F.col("a").alias("label"), "rank.score", "rank.fit"))
+    joined = mutual.select(F.col("b").alias("label"), F.col("a").alias("to"))
+    if not more.isEmpty():
+        among = core.select("hub", F.col("a").alias("label"), F.lit(float("inf")).alias("score"), F.lit(-1).alias("fit")).join(more.select("hub").distinct(), "hub", "left_semi").unionByName(more)
+        of_a, of_b = (among.select(F.col("label").alias(c), F.col("hub").alias(f"hub_{c}")) for c in "ab")
+        never = apart.join(of_a, "a").join(of_b, "b").where("hub_a = hub_b")
+        never = never.select("a", "b").unionByName(never.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("label")).agg(F.collect_list("b").alias("apart"))
+        among = among.join(profile, "label").join(own, "label", "left").join(never, "label", "left")
+        gathered = among.groupBy("hub").applyInPandas(_gather, "label bigint, to bigint").where("label <> to")
+        joined = joined.join(more.select(F.col("hub").alias("to")).distinct(), "to", "left_anti").select("label", "to").unionByName(gathered)
+    to = cut(joined)
 
     def moved(df: DataFrame) -> DataFrame:
         # the few rows that now agree may stay: what is made of them is made distinct
         return cut(df.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
 
-    grown = mutual.select(F.col("a").alias("label"))
+    grown = to.select(F.col("to").alias("label")).distinct()
     put_off = moved(pair.select(F.col("a").alias("label")).unionByName(pair.select(F.col("b").alias("label"))).distinct())
-    near = moved(fellow.join(mutual.select(F.col("a").alias("fellow")).unionByName(mutual.select(F.col("b").alias("fellow"))), "fellow", "left_semi").select("label").distinct())
+    near = moved(fellow.join(to.select(F.col("to").alias("fellow")).unionByName(to.select(F.col("label").alias("fellow"))), "fellow", "left_semi").select("label").distinct())
     active = cut(grown.unionByName(put_off).unionByName(near).distinct())
     return State(moved(st.labels), moved(on), moved(st.affil), moved(st.keys), active), True
 

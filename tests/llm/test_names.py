@@ -70,3 +70,13 @@ def test_keys_meet_where_families_agree():
             assert set(N.name_keys(a, [], "p")) & set(N.name_keys(b, [], "p")), (a, b)
         if b and N.close(a, b, 1):
             assert set(N.half_keys(a)) & set(N.half_keys(b)), (a, b)
+
+
+def test_many_profiles_of_one_person(spark):
+    """Forty profiles alike become one; two people who share initials stay two though one hub is the best match of both."""
+    names = [(1, "Ewa", "Olnetal", 0), (2, "Pedro", "Ligande", 0)] + [(10 + k, "Anna", "Korpeska", 0) for k in range(40)]
+    names += [(60, "E.", "Jarnemire", 0), (61, "Ewelina", "Jarnemire", 0), (62, "Emil", "Jarnemire", 0)]
+    papers = [(n, f"Work {n} on Gfr{n} in mouse lens fibres", None, [c(n), c(1), c(2)]) for n, *_ in names[2:]]
+    got = groups(spark, names, papers, [])
+    assert list(range(10, 50)) in got
+    assert not any({61, 62} <= set(g) for g in got) and any(60 in g and len(g) == 2 for g in got)
