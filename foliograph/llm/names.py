@@ -30,7 +30,7 @@ from xxhash import xxh3_64_intdigest
 
 from foliograph.llm.bibkeys import close, content, doi, full_forms, split_name, title_words
 from foliograph.llm.confusables import canonical
-from foliograph.llm.lexicon import fold, given_names
+from foliograph.llm.lexicon import fold
 from foliograph.session import cut, release
 
 #: Short forms of words in names of organisations.
@@ -38,7 +38,6 @@ ORG_SHORT = {
     "net": "network", "inst": "institute", "fdn": "foundation", "found": "foundation", "assoc": "association", "grp": "group", "gp": "group", "consort": "consortium",
     "collab": "collaboration", "coll": "collaboration", "ctr": "centre", "cent": "centre", "center": "centre", "soc": "society", "comm": "committee", "univ": "university", "lab": "laboratory", "res": "research", "wg": "working group", "org": "organisation",
 }
-_GIVEN = frozenset(given_names())
 _ACRONYM = re.compile(r"\s*([A-Z]{2,8})\s*\(([^()]{3,})\)\s*")
 
 
@@ -58,18 +57,6 @@ def parse(first: str | None, last: str | None) -> tuple[str, list[str], str]:
     return (organisation(fam), [], "o") if org else (fam, list(giv), "p")
 
 
-def place_keys(fam: str, giv: list[str], kind: str) -> list[str]:
-    """Coarse keys for names typed for one work: initials, and the first letter of the family name."""
-    if kind != "p":
-        return ["o"]
-    keys = {f"f:{fam[:1]}"} if fam else set()
-    if giv:
-        keys.add(f"i:{giv[0][0]}")
-        if len(giv[0]) > 2 and giv[0] not in _GIVEN:  # family and given name may have been swapped
-            keys |= {f"f:{giv[0][0]}", f"i:{fam[:1]}"}
-    return sorted(keys)
-
-
 def _shortened(word: str, most: int) -> set[str]:
     """A word with up to so many letters left out."""
     out = {word}
@@ -201,8 +188,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for n, f, l in zip(b["n"], b["first_name"], b["last_name"]):
             fam, giv, kind = parse(f, l)
-            rows.append((n, fam, giv, kind, place_keys(fam, giv, kind), name_keys(fam, giv, kind) if kind != "p" else []))
-        yield pd.DataFrame(rows, columns=["n", "fam", "giv", "kind", "places", "keys"])
+            rows.append((n, fam, giv, kind, name_keys(fam, giv, kind) if kind != "p" else []))
+        yield pd.DataFrame(rows, columns=["n", "fam", "giv", "kind", "keys"])
 
 
 @lru_cache(maxsize=1 << 16)
@@ -370,7 +357,7 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
     without words or evidence stays alone. Equal spelling alone links nothing.
     """
     spelled = names.where(F.col("name_id").isNotNull()).select(F.col("name_id").cast("bigint").alias("n"), "first_name", "last_name").distinct()
-    spelled = spelled.mapInPandas(_parse_batches, "n bigint, fam string, giv array<string>, kind string, places array<string>, keys array<string>")
+    spelled = spelled.mapInPandas(_parse_batches, "n bigint, fam string, giv array<string>, kind string, keys array<string>")
     spelled = cut(spelled)
     held = papers.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item"), "title", "doi", "creators")
     occ = held.select("item", F.posexplode("creators").alias("pos", "c")).select("item", "pos", F.col("c.name_id").cast("bigint").alias("n"), F.col("c.orcid").alias("orcid"), F.col("c.email").alias("email"), F.col("c.affiliations").alias("affs"))
@@ -388,11 +375,12 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
 
     # one work, one place: compatible names
     shape = spelled.select("n", F.struct("fam", "giv", "kind").alias("s"), F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"))
-    places = spelled.select("n", F.explode("places").alias("place"), "fam", F.get("giv", F.lit(0)).alias("g"))
-    near = _alike(slots.join(places, "n").select(F.xxhash64("work", "place").alias("slot"), "n", F.col("pos").cast("short").alias("pos"), "fam", "g"))
+    person = F.col("kind") == "p"  # of an organisation only that it is one counts here
+    typed = spelled.select("n", F.when(person, F.col("fam")).alias("fam"), F.when(person, F.get("giv", F.lit(0))).alias("g"))
+    near = _alike(slots.join(typed, "n").select(F.col("work").alias("slot"), "n", F.col("pos").cast("short").alias("pos"), "fam", "g"))
     near = near.groupBy("a", "b").agg(F.max((F.col("pos_a") == F.col("pos_b")).cast("int")).alias("placed"))
     # names alike of two authors of one record
-    clash = _alike(occ.join(places, "n").select(F.xxhash64("item", "place").alias("slot"), "n", "pos", "fam", "g"))
+    clash = _alike(occ.join(typed, "n").select(F.col("item").alias("slot"), "n", "pos", "fam", "g"))
     clash = cut(clash.select("a", "b").distinct())
     near = near.join(clash, ["a", "b"], "left_anti")
     agreed = _agreement(near, shape).where(F.when(F.col("placed") == 1, F.col("fit") >= 2).otherwise(F.col("fit") >= 4))
@@ -428,13 +416,21 @@ def _pairs(df: DataFrame, by: str, of: str) -> DataFrame:
 
 
 def _alike(keyed: DataFrame) -> DataFrame:
-    """(a, b, pos_a, pos_b) of names that share a slot and could be one: families within two slips, swapped, double, or organisations."""
+    """(a, b, pos_a, pos_b) of names that share a slot, but for those that `compatible` refuses at any rate.
+
+    All names of a slot meet, as a slip may spoil any letter a key could rest
+    on. A slip that swaps neighbours counts twice in a Levenshtein distance.
+    Organisations come without family name.
+    """
     keyed = keyed.repartition("slot")  # one exchange serves both sides
     x, y = (keyed.select("slot", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "pos", "fam", "g")]) for side in "ab")
     both = x.join(y, "slot").where("n_a < n_b")
-    swapped = (F.levenshtein("fam_a", "g_b", 1) >= 0) | (F.levenshtein("fam_b", "g_a", 1) >= 0)
-    like = (F.levenshtein("fam_a", "fam_b", 2) >= 0) | F.coalesce(swapped, F.lit(False)) | F.col("fam_a").contains("-") | F.col("fam_b").contains("-")
-    like = like | F.col("fam_a").contains(" ") | F.col("fam_b").contains(" ")
+    fa, fb = F.col("fam_a"), F.col("fam_b")
+    swapped = (F.levenshtein("fam_a", "g_b", 2) >= 0) & (F.levenshtein("fam_b", "g_a", 2) >= 0)
+    slips = F.when(F.least(F.length(fa), F.length(fb)) < 7, F.levenshtein(fa, fb, 2)).otherwise(F.levenshtein(fa, fb, 4)) >= 0
+    flat = lambda f: F.replace(F.replace(F.replace(f, F.lit("oe"), F.lit("o")), F.lit("ue"), F.lit("u")), F.lit("ae"), F.lit("a"))
+    like = slips | fa.contains("-") | fb.contains("-") | F.coalesce(swapped, F.lit(False)) | (flat(fa) == flat(fb))
+    like = (fa.isNull() & fb.isNull()) | (fa.isNotNull() & fb.isNotNull() & like)
     return both.where(like).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), "pos_a", "pos_b")
 
 

@@ -80,3 +80,13 @@ def test_many_profiles_of_one_person(spark):
     got = groups(spark, names, papers, [])
     assert list(range(10, 50)) in got
     assert not any({61, 62} <= set(g) for g in got) and any(60 in g and len(g) == 2 for g in got)
+
+
+def test_slips_of_names_in_one_work(spark):
+    """Copies of one work: a swap and another slip, swapped parts with a swap of letters, three umlauts, a nickname with another first letter."""
+    pairs = [("Anna", "Korpeska", "Anna", "Okrpeskat"), ("Selmo", "Tovanik", "Tovanki", "Selmo"), ("Ivo", "Muelloesaek", "Ivo", "Mullosak"), ("Robert", "Polmarik", "Bob", "Bolmarik")]
+    names, papers = [], []
+    for k, (fa, la, fb, lb) in enumerate(pairs):
+        names += [(2 * k + 10, fa, la, 0), (2 * k + 11, fb, lb, 0)]
+        papers += [(2 * k + i, f"Work {k} on Gfr{k} and Kcn{k} in the lens fibres of mice", None, [c(2 * k + 10 + i)]) for i in (0, 1)]
+    assert groups(spark, names, papers, []) == [[2 * k + 10, 2 * k + 11] for k in range(len(pairs))]
