@@ -21,28 +21,33 @@ from foliograph.functions import ids, text
 LARGEST_TEAM = 64
 #: A row is compared with so many following rows that share a posting with it.
 WINDOW = 16
+#: Rows are compared with so many ORCIDs of a posting however far apart; a row with more takes no ORCID from evidence.
+ANCHORS = 32
 PASSES = 3
 SCHEMA = "paper string, pos int, author string, identity string"
 
 
 def signatures(papers: DataFrame) -> DataFrame:
-    """(paper, pos, name, orcid, email, affils, team, words), one row per creator with a full name."""
+    """(paper, pos, name, orcid, email, affils, team, words, oids), one row per creator with a full name."""
     p = papers.select("id", "title", F.substring("abstract", 1, 1200).alias("abstract"), "creators").distinct()
     words = F.array_distinct(F.regexp_extract_all(text.norm(F.concat_ws(" ", "title", "abstract")), F.lit(r"[\p{L}]{4,}"), F.lit(0)))
     team = F.when(F.size("creators") <= LARGEST_TEAM, F.array_distinct(F.filter(F.transform("creators", lambda c: ids.author_key(c["first_name"], c["last_name"])), lambda k: k.isNotNull()))).otherwise(F.array().cast("array<string>"))
-    rows = p.select(F.col("id").alias("paper"), words.alias("words"), team.alias("team"), F.posexplode("creators").alias("pos", "c"))
+    oids = F.array_distinct(F.filter(F.transform("creators", lambda c: ids.orcid(c["orcid"])), lambda o: o.isNotNull()))
+    rows = p.select(F.col("id").alias("paper"), oids.alias("oids"), words.alias("words"), team.alias("team"), F.posexplode("creators").alias("pos", "c"))
     return rows.select(
         "paper", "pos", ids.author_key(F.col("c.first_name"), F.col("c.last_name")).alias("name"), ids.orcid(F.col("c.orcid")).alias("orcid"), F.lower("c.email").alias("email"),
-        F.filter(F.transform(F.coalesce("c.affiliations", F.array().cast("array<string>")), text.norm), lambda a: F.length(a) >= 12).alias("affils"), "team", "words",
+        F.filter(F.transform(F.coalesce("c.affiliations", F.array().cast("array<string>")), text.norm), lambda a: F.length(a) >= 12).alias("affils"), "team", "words", "oids",
     ).where("name IS NOT NULL")
 
 
 def evidence(a: dict, b: dict, verified: frozenset[str] = frozenset()) -> float:
     """Support for two rows being one person; 0 where no gate opens."""
+    if a["paper"] == b["paper"]:
+        return 0.0
     if a["orcid"] and b["orcid"]:
         return 100.0 if a["orcid"] == b["orcid"] else 0.0
     shared = (a["team"] & b["team"]) - {a["name"]}
-    known = len(shared & verified)
+    known = len(shared & verified) + len((a.get("oids", frozenset()) & b.get("oids", frozenset())) - {a["orcid"], b["orcid"]})
     low = min(len(a["words"]), len(b["words"]))
     like = len(a["words"] & b["words"]) / low if low else 0.0
     mail = bool(a["email"]) and a["email"] == b["email"]
@@ -84,7 +89,7 @@ def resolve_block(rows: list[dict], verified: frozenset[str] = frozenset()) -> l
     postings: dict[tuple, list[int]] = defaultdict(list)
     for i in order:
         r = rows[i]
-        for key in sorted([("c", t) for t in r["team"] if t != r["name"]] + [("a", t) for t in r["affils"]] + ([("e", r["email"])] if r["email"] else [])):
+        for key in sorted([("c", t) for t in r["team"] if t != r["name"]] + [("a", t) for t in r["affils"]] + ([("e", r["email"])] if r["email"] else []) + [("o", t) for t in r.get("oids", ()) if t != r["orcid"]]):
             postings[key].append(i)
     score: dict[tuple[int, int], float] = {}
     for key in sorted(postings):
@@ -94,6 +99,17 @@ def resolve_block(rows: list[dict], verified: frozenset[str] = frozenset()) -> l
                 pair = (min(i, j), max(i, j))
                 if pair not in score:
                     score[pair] = evidence(rows[i], rows[j], verified)
+    incomplete: set[int] = set()
+    for key in sorted(postings):
+        p = postings[key]
+        anchors = list({rows[i]["orcid"]: i for i in p if rows[i]["orcid"]}.values())
+        if len(anchors) > ANCHORS:
+            incomplete |= set(p)
+        for i in p:
+            for j in anchors[:ANCHORS]:
+                pair = (min(i, j), max(i, j))
+                if i != j and pair not in score:
+                    score[pair] = evidence(rows[i], rows[j], verified)
     near: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for (i, j), s in score.items():
         if s > 0:
@@ -102,7 +118,7 @@ def resolve_block(rows: list[dict], verified: frozenset[str] = frozenset()) -> l
     for _ in range(PASSES):
         moved = False
         for i in order:
-            if own[find(i)]:
+            if own[find(i)] or i in incomplete:
                 continue
             best: dict[str, float] = {}
             for j, s in near[i]:
@@ -114,6 +130,10 @@ def resolve_block(rows: list[dict], verified: frozenset[str] = frozenset()) -> l
             top, second = ranked[0][1], ranked[1][1] if len(ranked) > 1 else 0.0
             if second and (top < 6 or top - second < 3 or top < 1.4 * second):
                 continue
+            # an anchor in direct conflict is not bypassed by support through others
+            rival = max((s for j, s in near[i] if rows[j]["orcid"] and rows[j]["orcid"] != ranked[0][0]), default=0.0)
+            if rival and (top - rival < 3 or top < 1.4 * rival):
+                continue
             moved |= join(by_orcid[ranked[0][0]], i)
         if not moved:
             break
@@ -147,8 +167,8 @@ def author_identities(papers: DataFrame) -> DataFrame:
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [dict(paper=p, pos=int(i), name=n, orcid=o, email=e, affils=frozenset(a), team=frozenset(t), words=frozenset(w)) for p, i, n, o, e, a, t, w in zip(
-            pdf["paper"], pdf["pos"], pdf["name"], pdf["orcid"], pdf["email"], pdf["affils"], pdf["team"], pdf["words"])]
+        rows = [dict(paper=p, pos=int(i), name=n, orcid=o, email=e, affils=frozenset(a), team=frozenset(t), words=frozenset(w), oids=frozenset(v)) for p, i, n, o, e, a, t, w, v in zip(
+            pdf["paper"], pdf["pos"], pdf["name"], pdf["orcid"], pdf["email"], pdf["affils"], pdf["team"], pdf["words"], pdf["oids"])]
         got = resolve_block(rows)
         return pd.DataFrame({"paper": pdf["paper"].to_numpy(), "pos": pdf["pos"].to_numpy(), "author": [a for a, _ in got], "identity": [k for _, k in got]})
 

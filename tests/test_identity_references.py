@@ -59,3 +59,14 @@ def test_places(spark):
     g = spark.createDataFrame([("p", 0.0, 0.0, 100.0, 10.0), ("p", 50.0, 50.0, 60.0, 60.0)], "page string, left double, top double, right double, bottom double")
     m = spark.createDataFrame([("p", 99.0, 5.0), ("p", 55.0, 55.0), ("p", 200.0, 5.0)], "page string, x double, y double")
     assert sorted(r["left"] for r in places.under_pointer(m, g).collect()) == [0.0, 50.0]
+
+
+def test_anchor_far_off_and_shared_orcids():
+    """An anchor beyond the window counts, and so do ORCIDs that two papers share."""
+    def one(paper, orcid=None, team=(), words=("lens",), oids=(), affils=()):
+        return dict(paper=paper, pos=0, name="n", orcid=orcid, email=None, affils=frozenset(affils), team=frozenset(team), words=frozenset(words), oids=frozenset(oids))
+
+    far = [one("a", "O1", affils=["institute of optics"])] + [one(f"b{k:03}", affils=["institute of optics"], words=[f"w{k}"]) for k in range(40)] + [one("c", affils=["institute of optics"])]
+    assert identity.resolve_block(far)[-1] == ("author:orcid:O1", "orcid")
+    shared = [one("a", "O1", oids=["O1", "O9"]), one("b", oids=["O9"])]
+    assert identity.resolve_block(shared)[1] == ("author:orcid:O1", "orcid")
