@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,35 +34,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a local
-    one is made only where that setting is absent (tests, single machine). A
-    checkpoint keeps the statistics and constraints estimated for the plan it
-    cuts; over iterations of joins these grow without bound (sizes of joins are
-    products), so the rows are given a new leaf that knows only their schema.
+    Only a session on one machine that names none gets a folder of its own,
+    which goes with the process; a cluster without the setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="foliograph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliograph-"))
-    done = df.checkpoint(eager=True)
-    if not hasattr(spark, "_jsparkSession"):
-        return done
-    leaf = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
-    return type(done)(leaf, spark)
+        sc.setCheckpointDir(folder)
+    return folder
 
 
-def release(df: DataFrame) -> None:
-    """Let go of what earlier rounds of an iteration left behind.
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` as a table in the shared folder and forget its lineage.
 
-    Spark deletes shuffle files and checkpoints of frames that are out of reach
-    only once the driver's JVM has collected them, which an iteration of small
-    plans may put off for long.
+    The rows come back from files with their schema and real sizes only: over
+    iterations of joins, lineage and estimated sizes would grow without bound.
+    Any executor can read them again. Rows keep no order.
     """
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def cut_in_order(df: DataFrame) -> DataFrame:
+    """Materialise `df` by a checkpoint, which keeps partitions and the order of their rows as they are."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the tables that `cut` wrote for these frames; nothing may read them afterwards."""
+    for df in frames:
+        path = getattr(df, "_written", None)
+        jvm = getattr(df.sparkSession, "_jvm", None) if path else None
+        if jvm is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
