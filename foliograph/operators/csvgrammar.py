@@ -14,8 +14,10 @@ right width, or one that starts with a plausible first value, can be read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,66 +93,99 @@ def _record(text: str, k: int, end: int, stop: str) -> tuple[list[str], int]:
         return fields, k
 
 
-def record(text: str, start: int = 0, end: int | None = None) -> Parsed:
-    """One record that spans text[start:end] whole (its bounds are anchors)."""
-    end = len(text) if end is None else end
-    while start < end and text[start] in ENDS:
-        start += 1
-    while end > start and text[end - 1] in ENDS:
-        end -= 1
+class RowStarts:
+    """Anchors of a text whose records' starts are known: each is valid as it stands, and bounds the record before it."""
+
+    stop = ","
+
+    def __init__(self, text: str, starts: list[int]):
+        self.starts, self.ends = starts, [*(s - 1 for s in starts[1:]), len(text)]
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        yield from zip(self.starts, self.ends)
+
+
+class FoundStarts:
+    """Anchors of raw text: line breaks after which a record can be read, looked for only where a quote is broken."""
+
+    stop = ",\n"
+
+    def __init__(self, text: str, width: int):
+        self.text, self.width, self.last_quote = text, width, text.rfind('"')
+
+    def valid(self, k: int) -> bool:
+        """Whether a record can start at k: it is the text's end, or reads as `width` fields, or opens with a value list."""
+        text = self.text
+        if k >= len(text):
+            return True
+        line = text[k : (text.find("\n", k) + 1 or len(text) + 1) - 1]
+        try:
+            # a trial reads one record; past the last quote no quoted value is looked for
+            fields, _ = _record(text, k, max(k, self.last_quote + 1) if '"' in line else k + len(line), self.stop)
+        except Broken:
+            fields = []
+        if len(fields) == self.width and (not issn_error(fields[0]) or is_header(fields)):
+            return True
+        head = line.lstrip(ENDS + '"').split(",", 1)[0].strip(ENDS + '"')
+        return bool(head) and not issn_error(head)
+
+    def after(self, k: int) -> int:
+        """The line break before the next validated record start after k, or the text's end."""
+        nl = self.text.find("\n", k)
+        while nl >= 0 and not self.valid(nl + 1):
+            nl = self.text.find("\n", nl + 1)
+        return len(self.text) if nl < 0 else nl
+
+
+def _one(text: str, start: int, end: int, stop: str) -> tuple[list[str] | None, int, int | None]:
+    """(fields, end, offset of a broken quote) of the record that starts at `start` and ends by `end`."""
     try:
-        fields, k = _record(text, start, end, ",")
-        if k < end:
+        fields, k = _record(text, start, end, stop)
+        if stop == "," and k < end:
             raise Broken(k)
-        return Parsed(start, end, fields)
+        return fields, k, None
     except Broken as e:
-        return Parsed(start, end, None, "quoting", e.at)
+        return None, end, e.at
 
 
-def _anchored(text: str, k: int, width: int) -> bool:
-    """Whether a record can start at k: it is the text's end, or reads as `width` fields, or opens with a value list."""
-    if k >= len(text):
-        return True
-    line = text[k : (text.find("\n", k) + 1 or len(text) + 1) - 1]
-    try:
-        fields, _ = _record(text, k, len(text), ",\n")
-    except Broken:
-        fields = []
-    if len(fields) == width and (not issn_error(fields[0]) or is_header(fields)):
-        return True
-    head = line.lstrip(ENDS + '"').split(",", 1)[0].strip(ENDS + '"')
-    return bool(head) and not issn_error(head)
-
-
-def _next_anchor(text: str, k: int, width: int) -> int:
-    """The line break before the next validated record start after k, or the text's end."""
-    nl = text.find("\n", k)
-    while nl >= 0 and not _anchored(text, nl + 1, width):
-        nl = text.find("\n", nl + 1)
-    return len(text) if nl < 0 else nl
-
-
-def records(text: str, width: int = len(COLUMNS)) -> Iterator[Parsed]:
-    """The records of raw file text, resuming at validated record starts after a broken quote."""
-    k, n = 0, len(text)
-    if text[:1] == "\ufeff":
-        k = 1
+def records(text: str, width: int = len(COLUMNS), starts: list[int] | None = None) -> Iterator[Parsed]:
+    """The records of a text; after a broken quote parsing resumes at the next validated record start.
+
+    Without `starts` those are found in the text itself, so a quote that never
+    closes costs its own record only.
+    """
+    if starts is not None:
+        for start, end in RowStarts(text, starts):
+            while start < end and text[start] in ENDS:
+                start += 1
+            while end > start and text[end - 1] in ENDS:
+                end -= 1
+            fields, end, fault = _one(text, start, end, RowStarts.stop)
+            yield Parsed(start, end, fields, None if fault is None else "quoting", fault)
+        return
+    anchors, n = FoundStarts(text, width), len(text)
+    k = 1 if text[:1] == "\ufeff" else 0
     while k < n:
         start = k
-        try:
-            fields, k = _record(text, k, n, ",\n")
-            fault = None
+        fields, k, fault = _one(text, start, n, FoundStarts.stop)
+        if fault is not None:
+            k = anchors.after(fault)
+            # a quote opened inside the record's first lines may hide a record start before the fault
+            k = min(k, anchors.after(start))
+        elif len(fields) != width and "\n" in text[start:k].strip(ENDS):
             # a quote that closes only records later: wrong width, and a record starts inside
-            if len(fields) != width and "\n" in text[start:k].strip(ENDS):
-                nl = _next_anchor(text, start, width)
-                if nl < k:
-                    fault, fields, k = text.index('"', start), None, nl
-        except Broken as e:
-            fault, fields, k = e.at, None, _next_anchor(text, start, width)
+            nl = anchors.after(start)
+            if nl < k:
+                fault, fields, k = text.index('"', start), None, nl
         yield Parsed(start, k, fields, None if fault is None else "quoting", fault)
         k += 1
 
 
+def record(text: str) -> Parsed:
+    """One record that is the whole text."""
+    return next(records(text, starts=[0]))
+
+
 def issn_error(value: str) -> bool:
     """True unless the text holds one ISSN or more and each has the right check character."""
     parts = [p for p in _PARTS.split(value) if p]
@@ -190,14 +225,15 @@ def _number(s: str) -> float | None:
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for key, line in zip(b["_key"], b["_line"]):
-            p = record(line)
+        lines = b["_line"].tolist()
+        starts = [0, *accumulate(len(x) + 1 for x in lines[:-1])]
+        for key, first, p in zip(b["_key"], starts, records("\n".join(lines), starts=starts)):
             why = judge(p)
             if why == "":
                 continue
             f = p.fields if why is None else None
             issns = [v.upper() if "-" in v else f"{v[:4]}-{v[4:].upper()}" for v in _PARTS.split(f[0]) if v] if f else None
-            out.append((key, why, None if p.at is None else p.at, issns, *((f[1], int(f[2]), _number(f[3]), f[4], f[5], f[6]) if f else (None,) * 6)))
+            out.append((key, why, None if p.at is None else p.at - first, issns, *((f[1], int(f[2]), _number(f[3]), f[4], f[5], f[6]) if f else (None,) * 6)))
         yield pd.DataFrame(out, columns=["_key", "reason", "at", "issn", "journal", "metric_year", "jif", "category", "quartile", "source"])
 
 
@@ -213,13 +249,43 @@ def parse_records(df: DataFrame, key: str, line: str) -> DataFrame:
     Header records, records of blanks and commas only, and null lines are left
     out. A byte-order mark or carriage return at the ends and blanks around a
     value are harmless. Rows equal in key and line count once; other columns of
-    df are ignored, so clashing names do no harm. Each row is parsed by itself:
-    no file is gathered in one task, however many rows it has.
+    df are ignored, so clashing names do no harm. The rows of a batch are read
+    as one text whose record starts are known: a broken quote ends with its row.
+    No file is gathered in one task, however many rows it has.
     """
     rows = df.select(F.col(key).cast("bigint").alias("_key"), F.col(line).alias("_line")).where(F.col("_line").isNotNull()).distinct()
     return rows.mapInPandas(_parse_batches, PARSED).withColumnRenamed("_key", key)
 
 
+def recover(df: DataFrame, key: str, line: str, file: str, order: str, block: int = 512) -> DataFrame:
+    """(key, reason): each record that can't be loaded, when record starts are not told but found in the files' text.
+
+    Rows are put together to the text of their file, in blocks of `block`
+    consecutive numbers, so however long a file is, no task holds more; a block
+    begins where a record does. A record counts for the row in which it starts.
+    Rows of one number follow one another by key; a row without number or file
+    is a text of its own. Repeated rows count once, null lines not at all.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("_key"), F.col(line).alias("_line"), F.col(file).alias("_file"), F.col(order).cast("bigint").alias("_no"))
+    rows = rows.where(F.col("_line").isNotNull()).distinct()
+    alone = F.col("_no").isNull() | F.col("_file").isNull()
+    rows = rows.withColumn("_block", F.when(alone, F.concat(F.lit("r"), F.col("_key").cast("string"))).otherwise(F.floor(F.col("_no") / block).cast("string")))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["_no", "_key"])
+        lines = b["_line"].tolist()
+        starts = [0, *accumulate(len(x) + 1 for x in lines[:-1])]
+        found = {}
+        for p in records("\n".join(lines)):
+            why = judge(p)
+            if why:
+                found.setdefault(bisect_right(starts, p.start) - 1, why)
+        keys = b["_key"].tolist()
+        return pd.DataFrame({"_key": [keys[i] for i in found], "reason": list(found.values())}).astype({"_key": "int64", "reason": object})
+
+    return rows.groupBy("_file", "_block").applyInPandas(run, "_key bigint, reason string").withColumnRenamed("_key", key)
+
+
 def _file_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []

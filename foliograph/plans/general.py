@@ -5,29 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.operators.csvgrammar import parse_records
-from foliograph.operators.packed import split_packed
+from foliograph.operators.csvgrammar import parse_records, recover
+from foliograph.operators.packed import ISSN, split_packed
 from foliograph.session import table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_packed(table(spark, sf_dir, "metric_import"), "issn", ["metric_id"], "issn", "pos", at_least=2)
+    return split_packed(table(spark, sf_dir, "metric_import"), "issn", ["metric_id"], "issn", "pos", at_least=2, shape=ISSN)
 
 
 def p4_all_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_packed(table(spark, sf_dir, "metric_import"), "issn", ["metric_id"], "issn", "pos")
+    return split_packed(table(spark, sf_dir, "metric_import"), "issn", ["metric_id"], "issn", "pos", shape=ISSN)
+
+
+def p4_affiliation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Department, institution and so on of each affiliation text, in order."""
+    texts = table(spark, sf_dir, "paper").select(F.explode("creators.affiliations").alias("a")).select(F.explode("a").alias("affiliation"))
+    return split_packed(texts, "affiliation", ["affiliation"], "part", "pos", delimiters=",")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_records(table(spark, sf_dir, "metric_line"), "line_id", "line").where(F.col("reason").isNotNull()).select("line_id", "reason")
 
 
+def p5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recover(table(spark, sf_dir, "metric_line"), "line_id", "line", "file_name", "line_no")
+
+
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse_records(table(spark, sf_dir, "metric_line"), "line_id", "line").where(F.col("reason").isNull())
     return rows.select("line_id", F.array_join("issn", ";").alias("issn"), "journal", "metric_year", "jif", "category", "quartile", "source")
 
 
-QUERIES = {"p4_found": p4_found, "p4_all_values": p4_all_values, "p5_found": p5_found, "p5_loaded": p5_loaded}
+QUERIES = {
+    "p4_found": p4_found, "p4_all_values": p4_all_values, "p4_affiliation_parts": p4_affiliation_parts,
+    "p5_found": p5_found, "p5_recovered": p5_recovered, "p5_loaded": p5_loaded,
+}
 
 _VALUES = """
 WITH t AS (SELECT DISTINCT metric_id, regexp_replace(translate(issn, '０１２３４５６７８９Ｘｘ', '0123456789Xx'), '[-‐-―−]', '', 'g') AS s FROM metric_import WHERE issn IS NOT NULL),
@@ -38,6 +51,12 @@ FROM (SELECT metric_id, a, unnest(generate_series(1, len(a))) AS pos FROM v WHER
 
 ORACLE = {"p4_found": _VALUES.replace("{least}", "2"), "p4_all_values": _VALUES.replace("{least}", "1")}
 
+ORACLE["p4_affiliation_parts"] = """
+WITH t AS (SELECT DISTINCT unnest(c.affiliations) AS affiliation FROM (SELECT unnest(creators) AS c FROM paper)),
+v AS (SELECT affiliation, list_filter(list_transform(string_split(affiliation, ','), lambda p: trim(p)), lambda p: regexp_matches(p, '[\\p{L}0-9]')) AS a FROM t)
+SELECT affiliation, CAST(pos AS INTEGER) AS pos, a[pos] AS part FROM (SELECT affiliation, a, unnest(generate_series(1, len(a))) AS pos FROM v)
+"""
+
 _B = "[ \\t\u00a0\u3000\u2002\u2003\u2007\u2009\u202f]*"
 _FIELD = f'{_B}(?:"(?:[^"]|"")*"{_B}|[^",]*)'
 _ENDS = "chr(9) || chr(10) || chr(13) || chr(32) || chr(160) || chr(65279) || chr(12288) || chr(8194) || chr(8195) || chr(8199) || chr(8201) || chr(8239)"

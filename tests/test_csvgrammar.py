@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliograph.operators.csvgrammar import COLUMNS, issn_error, judge, parse_files, parse_records, record, records
+from foliograph.operators.csvgrammar import COLUMNS, issn_error, judge, parse_files, parse_records, record, records, recover
 
 GOOD = "9900-0008,Journal of X,2001,1.5,Optics,Q1,List"
 
@@ -47,6 +47,14 @@ def test_files(spark):
     assert sorted(str(r["reason"]) for r in parse_files(df).collect()) == ["None", "column_count"]
 
 
+def test_recovery_without_row_bounds(spark):
+    lines = [GOOD, '9900-0016,"never closed,2001,1,x,Q1,s', GOOD, '9900-0024,"two\nlines",2001,1,x,Q1,s', "9900-0009,A,2001,1,x,Q1,s", 'a"b', GOOD]
+    df = spark.createDataFrame([(k, x, "f", k, 0) for k, x in enumerate(lines)] * 2 + [(90, "x", None, 1, 0), (91, None, "f", 3, 0)], "line_id bigint, line string, file string, no int, reason int")
+    for block in (2, 512):
+        assert {(r["line_id"], r["reason"]) for r in recover(df, "line_id", "line", "file", "no", block).collect()} == {(1, "quoting"), (4, "issn"), (5, "quoting"), (90, "column_count")}
+    assert recover(df.limit(0), "line_id", "line", "file", "no").count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet='ab,"\n ;é', max_size=8), min_size=1, max_size=9))
 def test_quoted_round_trip(values):

@@ -1,6 +1,6 @@
 import pytest
 
-from foliograph.operators.packed import rule_of, split_packed
+from foliograph.operators.packed import ISSN, rule_of, split_packed
 
 CASES = {
     1: ("9900-0008", ["9900-0008"]),
@@ -21,7 +21,7 @@ def _rows(spark, **kw):
     rows = [(k, v[0], "x", 1) for k, v in CASES.items()] * 2  # every row delivered twice
     df = spark.createDataFrame(rows, "id bigint, f string, value string, pos int")
     out = {}
-    for r in sorted(split_packed(df, "f", ["id"], **kw).collect(), key=lambda r: (r["id"], r["pos"])):
+    for r in sorted(split_packed(df, "f", ["id"], shape=ISSN, **kw).collect(), key=lambda r: (r["id"], r["pos"])):
         out.setdefault(r["id"], []).append((r["pos"], r["value"]))
     return out
 
@@ -38,9 +38,31 @@ def test_at_least_two(spark):
 
 
 def test_empty_table(spark):
-    assert split_packed(spark.createDataFrame([], "id bigint, f string"), "f", ["id"]).collect() == []
+    assert split_packed(spark.createDataFrame([], "id bigint, f string"), "f", ["id"], shape=ISSN).collect() == []
 
 
-@pytest.mark.parametrize("skeleton, want", [("V;V", [[0], [2]]), ("h-h", [[0, 2]]), ("h t", [[0, 2]]), ("w w", []), ("n;V", [[2]])])
-def test_rules(skeleton, want):
-    assert rule_of(skeleton) == want
+@pytest.mark.parametrize(
+    "skeleton, shape, want",
+    [
+        ("9999D9999;9999999x", ISSN, [[0, 9], [10, 8]]), ("9999 999x", ISSN, [[0, 9]]), ("9999;9999", ISSN, []), ("a a", ISSN, []), ("99;9999D9999 (a)", ISSN, [[3, 9]]),
+        ("['9999D9999', 9999D9999]", ISSN, [[2, 9], [14, 9]]), ('"a, a";a', None, [[1, 4], [7, 1]]), ("a, a c a", None, [[0, 1], [3, 1], [7, 1]]), ("[a; ; a]", None, [[1, 1], [6, 1]]),
+    ],
+)
+def test_rules(skeleton, shape, want):
+    assert rule_of(skeleton, shape) == want
+
+
+def test_names_and_keywords(spark):
+    """Fields without a shape: delimiters, quotes and brackets alone decide."""
+    rows = [
+        (1, 'lens; "retina, rods and cones"; glia (Müller, rat)'), (2, "Doe, A.; O'Neil, B. and Öz-Ünal, C."), (3, "\"all, one\""), (4, "[a | b]"), (5, " ; ;"), (6, None),
+        (7, 'he said ""x"", y'), (8, "un\"closed, b"),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, f string")
+    got = {}
+    for r in sorted(split_packed(df, "f", ["id"], delimiters=";|").collect(), key=lambda r: (r["id"], r["pos"])):
+        got.setdefault(r["id"], []).append(r["value"])
+    assert got == {
+        1: ["lens", "retina, rods and cones", "glia (Müller, rat)"], 2: ["Doe, A.", "O'Neil, B.", "Öz-Ünal, C."], 3: ["all, one"], 4: ["a", "b"],
+        7: ['he said "x", y'], 8: ['un"closed, b'],
+    }
