@@ -69,7 +69,7 @@ def _field(text: str, k: int, end: int, stop: str) -> tuple[str, int]:
         k += 1
     if k < end and text[k] == '"':
         value, k = _quoted(text, k, end)
-        while k < end and text[k] in BLANKS:
+        while k < end and (text[k] in BLANKS or text[k] == "\r" and text[k + 1 : k + 2] in ("", "\n")):
             k += 1
         if k < end and text[k] not in stop and text[k : end].strip(ENDS):
             raise Broken(k)
