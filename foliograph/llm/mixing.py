@@ -1,18 +1,21 @@
 """Mixing sources to target weights.
 
 The tokens of each source are laid end to end and cut into blocks of fixed
-length. Quotas in blocks follow the target shares; a source whose blocks, each
+length. Quotas in tokens follow the target shares; a source whose tokens, each
 used max_repeats times, do not reach its quota gives all it may and the others
-share the rest in proportion. Every output shard draws its source counts from a
-multinomial over the quotas left, so that the shards together meet them
-exactly. A slot's running number within its source is mapped through a
-pseudorandom permutation of that source's block numbers (one for each pass over
-the source), and blocks are joined to slots by number.
+share the rest in proportion. A quota is so many whole passes over the source
+and a part of one more, whose last slot is cut to what is left, so the total is
+exact. Every output shard draws its source counts from a multinomial over the
+slots left, so that the shards together use them up. A slot's running number
+within its source is mapped through a pseudorandom permutation of that source's
+block numbers (one for each pass), and blocks are joined to slots by number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,6 @@ from foliograph.llm.tokens import DEFAULT_VOCABULARY, ordered, running_start, wi
 from foliograph.session import cut
 
 BLOCK = 256
-SHARDS = 64
 
 
 def quotas(total: int, shares: dict[str, float], most: dict[str, int]) -> dict[str, int]:
@@ -94,14 +96,61 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shards: int = SHARDS, seed: int = 1, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+@dataclass(frozen=True)
+class Source:
+    """A source of `tokens` in blocks: whole passes over all blocks, and `rest` tokens of one more pass."""
+
+    tokens: int
+    quota: int
+    block: int
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.tokens // self.block)
+
+    @property
+    def passes(self) -> int:
+        return self.quota // self.tokens
+
+    @property
+    def rest(self) -> int:
+        return self.quota % self.tokens
+
+    @property
+    def slots(self) -> int:
+        return self.passes * self.blocks + -(-self.rest // self.block)
+
+    def place(self, q: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block, pass, tokens taken) of the slots numbered q of this source.
+
+        The part of a pass draws from the whole blocks; the short last block
+        comes in only where all others are used.
+        """
+        turn, inner = q // self.blocks, q % self.blocks
+        block = np.empty(len(q), dtype=np.int64)
+        take = np.full(len(q), self.block, dtype=np.int64)
+        whole = self.tokens // self.block
+        for t in np.unique(turn):
+            at = turn == t
+            x = inner[at]
+            if t < self.passes:
+                block[at] = permute(x, self.blocks, key + int(t))
+            else:
+                block[at] = np.where(x < whole, permute(np.minimum(x, max(0, whole - 1)), max(1, whole), key + int(t)), whole)
+                take[at] = np.minimum(self.block, self.rest - x * self.block)
+        return block, turn, take
+
+
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shards: int | None = None, seed: int = 1, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The selection: (shard, slot, source, block, repeat, key, start_token, n_tokens), a row for each piece of a text in a block.
 
     Its size is that of all documents, or less if the repeats do not allow it.
     Texts are named by token ranges, not copied. A source without target, a
     null source and null or empty texts take no part; a target without
     documents gets nothing and its share goes to the others. Of targets that
-    name one source twice the first by share counts.
+    name one source twice the first by share counts. Shards are, where not
+    given, as many as each has slots: the table of their source counts then
+    grows with the square root of the data.
     """
     spark = docs.sparkSession
     goal = {}
@@ -110,10 +159,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     counted = cut(with_tokens(docs.withColumn("_src", F.col(source).cast("string")), key, text, ["_src"], vocabulary).where("_n > 0"))
     held = {r["_src"]: r["t"] for r in counted.groupBy("_src").agg(F.sum("_n").alias("t")).where(F.col("_src").isin(list(goal))).collect()} if goal else {}
     total = (counted.agg(F.sum("_n")).first()[0] or 0)
-    blocks = {s: -(-held[s] // block) for s in held}
-    quota = quotas(-(-total // block), {s: goal[s][0] for s in blocks}, {s: blocks[s] * goal[s][1] for s in blocks})
-    quota = {s: q for s, q in quota.items() if q > 0}
-    names = sorted(quota)
+    quota = quotas(total, {s: goal[s][0] for s in held}, {s: held[s] * goal[s][1] for s in held})
+    use = {s: Source(held[s], q, block) for s, q in sorted(quota.items()) if q > 0}
+    names = list(use)
     schema = "shard int, slot bigint, source string, block bigint, repeat int, _id bigint, start_token bigint, n_tokens bigint"
     if not names:
         return spark.createDataFrame([], schema).withColumnRenamed("_id", key)
@@ -124,44 +172,36 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     parts = placed.select("_src", "_id", "_n", "_at", F.explode(F.sequence(F.floor(F.col("_at") / block), last)).alias("block"))
     low = F.greatest("_at", F.col("block") * block)
     parts = parts.select(
-        F.col("_src").alias("source"), "block", "_id", (low - F.col("_at")).alias("start_token"),
+        F.col("_src").alias("source"), "block", "_id", (low - F.col("_at")).alias("start_token"), (low - F.col("block") * block).alias("_in"),
         (F.least(F.col("_at") + F.col("_n"), (F.col("block") + 1) * block) - low).alias("n_tokens"),
     )
 
-    # slots
-    drawn = draw(quota, shards, seed)
-    before = np.zeros(len(names), dtype=np.int64)
-    rows, slot = [], 0
-    for k, got in enumerate(drawn):
-        for j, s in enumerate(names):
-            if got[j]:
-                rows.append((k, s, slot, int(before[j]), int(got[j])))
-                slot += int(got[j])
-        before = before + got
-    runs = spark.createDataFrame(rows, "shard int, source string, slot_lo bigint, q_lo bigint, n bigint")  # shards x sources rows
-    numbers = runs.repartition(min(shards, 4 * spark.sparkContext.defaultParallelism), "shard").select("shard", "source", "slot_lo", "q_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
-    code = {s: j for j, s in enumerate(names)}
+    # slots are numbered through; runs of one shard and source are found by their first slot
+    n_slots = sum(u.slots for u in use.values())
+    drawn = draw({s: use[s].slots for s in names}, shards or math.isqrt(n_slots - 1) + 1, seed)
+    run_lo = np.concatenate([[0], np.cumsum(drawn.ravel())[:-1]])
+    run_q = (np.cumsum(drawn, axis=0) - drawn).ravel()
+    runs = spark.sparkContext.broadcast((run_lo, run_q))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lo, q_lo = runs.value
         for b in batches:
-            q = (b["q_lo"] + b["i"]).to_numpy()
-            got = np.empty(len(b), dtype=np.int64)
-            again = np.empty(len(b), dtype=np.int64)
-            src = b["source"].to_numpy()
-            for s in set(src):
-                at = src == s
-                n = blocks[s]
-                turn = q[at] // n
-                again[at] = turn
-                inner = np.empty(at.sum(), dtype=np.int64)
-                for t in np.unique(turn):
-                    inner[turn == t] = permute(q[at][turn == t] % n, n, seed * 1_000_003 + code[s] * 1009 + int(t))
-                got[at] = inner
-            yield pd.DataFrame({"shard": b["shard"], "slot": b["slot_lo"] + b["i"], "source": src, "block": got, "repeat": again.astype("int32")})
-
-    slots = numbers.mapInPandas(place, "shard int, slot bigint, source string, block bigint, repeat int")
-    out = slots.join(parts, ["source", "block"])
-    return out.select("shard", "slot", "source", "block", "repeat", F.col("_id").alias(key), "start_token", "n_tokens")
+            slot = b["id"].to_numpy()
+            r = np.searchsorted(lo, slot, side="right") - 1  # of empty runs at one place the last, which holds the slot
+            code, q = r % len(names), q_lo[r] + slot - lo[r]
+            got, again, take = (np.empty(len(b), dtype=np.int64) for _ in range(3))
+            for j in np.unique(code):
+                at = code == j
+                got[at], again[at], take[at] = use[names[j]].place(q[at], seed * 1_000_003 + int(j) * 1009)
+            yield pd.DataFrame({
+                "shard": (r // len(names)).astype("int32"), "slot": slot, "source": [names[j] for j in code], "block": got,
+                "repeat": again.astype("int32"), "_take": take,
+            })
+
+    slots = spark.range(n_slots).mapInPandas(place, "shard int, slot bigint, source string, block bigint, repeat int, _take bigint")
+    out = slots.join(parts, ["source", "block"]).where("_in < _take")
+    taken = F.least("n_tokens", F.col("_take") - F.col("_in"))
+    return out.select("shard", "slot", "source", "block", "repeat", F.col("_id").alias(key), "start_token", taken.alias("n_tokens"))
 
 
 def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:

@@ -12,14 +12,16 @@ their rank among the items of their size, without any group being gathered.
 
 from __future__ import annotations
 
-import bisect
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.tokens import DEFAULT_VOCABULARY, ordered, running_start, with_tokens
-from foliograph.session import broadcast_if_small, cut
+from foliograph.session import cut
 
 CAPACITY = 2048
 PERMITTED = (512, 1024, 1536, 2048)
@@ -39,69 +41,60 @@ class Placement:
     capacity: int
 
 
-def _fill(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
-    """Sizes chosen by best fit for `room`: what fills it exactly, alone or as a pair, else the largest that fits."""
-    used: dict[int, int] = {}
+def _fill(free: np.ndarray, room: int) -> list[int]:
+    """Sizes chosen by best fit for `room` of `free` counts by size: what fills it exactly, alone or as a pair, else the largest that fits."""
+    free = free.copy()
     out: list[int] = []
-
-    def free(s: int) -> int:
-        return left.get(s, 0) - used.get(s, 0)
-
-    def take(s: int) -> None:
-        used[s] = used.get(s, 0) + 1
-        out.append(s)
-
     while room > 0:
-        if free(room) > 0:
-            take(room)
-            return out
-        k = bisect.bisect_right(sizes, room) - 1
-        while k >= 0 and free(sizes[k]) <= 0:
-            k -= 1
-        if k < 0:
-            return out
-        # an exact pair, if one of the next few sizes has its complement
-        for j in range(k, max(-1, k - 64), -1):
-            a, b = sizes[j], room - sizes[j]
-            if b > a:
-                break
-            if free(a) > 0 and free(b) - (a == b) > 0:
-                take(a)
-                take(b)
-                return out
-        take(sizes[k])
-        room -= sizes[k]
+        held = np.flatnonzero(free[: room + 1])
+        if not len(held):
+            break
+        take = (int(held[-1]),)
+        if take[0] != room:
+            # an exact pair, the one with the largest item first
+            big = held[::-1]
+            big = big[2 * big >= room]
+            fits = big[free[room - big] > (2 * big == room)]
+            if len(fits):
+                take = (int(fits[0]), room - int(fits[0]))
+        for s in take:
+            free[s] -= 1
+            room -= s
+        out += take
     return out
 
 
 def plan(counts: dict[int, int], permitted: tuple[int, ...] = PERMITTED, opening: int = OPENING) -> list[Placement]:
-    """Placements for items given as counts by size (sizes 1 to the largest permitted)."""
-    left = {s: n for s, n in counts.items() if n > 0 and s > 0}
+    """Placements for items given as counts by size (sizes 1 to the largest permitted).
+
+    Each step uses up at least one size, so there are at most as many steps as sizes.
+    """
     permitted = tuple(sorted(permitted))
-    if left and max(left) > permitted[-1]:
+    if any(n > 0 and s > permitted[-1] for s, n in counts.items()):
         raise ValueError("an item exceeds the largest container")
-    placed = dict.fromkeys(left, 0)
-    sizes = sorted(left)
+    free = np.zeros(permitted[-1] + 1, dtype=np.int64)
+    for s, n in counts.items():
+        if s > 0:
+            free[s] = max(0, n)
+    placed = dict.fromkeys(counts, 0)
     out: list[Placement] = []
     bins = 0
-    while left:
-        top = sizes[-1]
-        best: tuple[float, int, list[int]] | None = None
-        left[top] -= 1
+    while len(held := np.flatnonzero(free)):
+        top = int(held[-1])
+        best: tuple[float, list[int]] | None = None
+        free[top] -= 1
         for size in permitted:
             if size < top:
                 continue
-            inside = [top, *_fill(sizes, left, size - top)]
-            held = sum(inside)
-            cost = (size - held + opening) / held
+            inside = [top, *_fill(free, size - top)]
+            tokens = sum(inside)
+            cost = (size - tokens + opening) / tokens
             if best is None or cost < best[0] - 1e-12:
-                best = (cost, size, inside)
-        left[top] += 1
-        _, size, inside = best
-        need: dict[int, int] = {}
-        for s in inside:
-            need[s] = need.get(s, 0) + 1
-        times = min(left[s] // n for s, n in need.items())
+                best = (cost, inside)
+        free[top] += 1
+        inside = best[1]
+        need = Counter(inside)
+        times = min(int(free[s]) // n for s, n in need.items())
         final = next(p for p in permitted if p >= sum(inside))
         offset = 0
         for s in inside:
@@ -110,10 +103,7 @@ def plan(counts: dict[int, int], permitted: tuple[int, ...] = PERMITTED, opening
             offset += s
         bins += times
         for s, n in need.items():
-            left[s] -= n * times
-            if not left[s]:
-                del left[s]
-                sizes.remove(s)
+            free[s] -= n * times
     return out
 
 
@@ -128,27 +118,29 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     """
     if max(permitted) != capacity:
         raise ValueError("the largest permitted size must be the capacity")
-    spark = docs.sparkSession
-    counted = with_tokens(docs, key, text, vocabulary=vocabulary).where("_n > 0")
+    # tokenized once: ordering reads its input twice
+    counted = cut(with_tokens(docs, key, text, vocabulary=vocabulary).where("_n > 0"))
     pieces = counted.select("_id", "_n", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / capacity).cast("int"))).alias("piece"))
     start = F.col("piece").cast("bigint") * capacity
     pieces = pieces.select("_id", "piece", start.alias("start_token"), F.least(F.lit(capacity).cast("bigint"), F.col("_n") - start).alias("size"))
-    pieces = ordered(pieces, ["size", "_id", "piece"])
     counts = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}  # at most `capacity` rows
     first, at = {}, 0
     for s in sorted(counts):
         first[s] = at
         at += counts[s]
-    schema = "size bigint, lo bigint, hi bigint, bin_lo bigint, offset int, capacity int, first bigint"
-    rows = [(p.size, p.lo, p.hi, p.bin_lo, p.offset, p.capacity, first[p.size]) for p in plan(counts, permitted)]
-    places = cut(spark.createDataFrame(rows, schema))
-    ranked = running_start(pieces.withColumn("_one", F.lit(1).cast("bigint")), "_one", out="_index").drop("_one")
-    rank = F.col("_index") - F.col("first")
-    held = ranked.join(broadcast_if_small(places), "size").where((rank >= F.col("lo")) & (rank < F.col("hi")))
-    return held.select(
-        F.col("_id").alias(key), "piece", "start_token", F.col("size").cast("int").alias("n_tokens"),
-        (F.col("bin_lo") + rank - F.col("lo")).alias("container"), F.col("offset").alias("position"), "capacity",
+    # placements part the numbers 0, 1, ... of the ordered pieces into stretches: a piece's is found by its number alone
+    places = sorted((first[p.size] + p.lo, p.bin_lo, p.offset, p.capacity) for p in plan(counts, permitted))
+    low, bins, offsets, sizes = (np.array(c, dtype=np.int64) for c in zip(*places)) if places else (np.zeros(0, dtype=np.int64),) * 4
+
+    def place(b: pd.DataFrame) -> pd.DataFrame:
+        k = np.searchsorted(low, b["_index"].to_numpy(), side="right") - 1
+        return b.assign(container=bins[k] + b["_index"] - low[k], position=offsets[k].astype("int32"), capacity=sizes[k].astype("int32"))
+
+    ranked = running_start(
+        ordered(pieces, ["size", "_id", "piece"]).withColumn("_one", F.lit(1).cast("bigint")), "_one", out="_index",
+        more="container bigint, position int, capacity int", then=place,
     )
+    return ranked.select(F.col("_id").alias(key), "piece", "start_token", F.col("size").cast("int").alias("n_tokens"), "container", "position", "capacity")
 
 
 def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.session import cut
+from foliograph.session import cut_in_order
 
 #: Vocabulary file used where a caller names none: ranks of a public byte-level BPE.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -49,14 +49,19 @@ def with_tokens(docs: DataFrame, key: str, text: str, keep: list[str] | None = N
 
 
 def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df sorted over its partitions by keys and materialised; `_pid` numbers the partitions in order."""
+    """df sorted over its partitions by keys and materialised; `_pid` numbers the partitions in order.
+
+    df is read twice, once for the bounds of the partitions: hand over a cut table.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).withColumn("_pid", F.spark_partition_id())
+    return cut_in_order(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).withColumn("_pid", F.spark_partition_id())
 
 
-def running_start(df: DataFrame, size: str, group: str | None = None, out: str = "_start") -> DataFrame:
+def running_start(df: DataFrame, size: str, group: str | None = None, out: str = "_start", more: str = "", then=None) -> DataFrame:
     """`out`: the sum of `size` over the rows before each row of an ordered frame, within its `group`.
 
+    `then` may turn each batch into one with the further columns `more` in the same pass.
+
     Sums by partition (and group) are gathered, a number for each; rows are
     then numbered where they lie, so no group is ever brought into one task.
     """
@@ -77,7 +82,8 @@ def running_start(df: DataFrame, size: str, group: str | None = None, out: str =
                 v = at.get(k, starts[k])
                 begin.append(v)
                 at[k] = v + int(n)
-            yield b.drop(columns=["_by"]).assign(**{out: begin})
+            b = b.drop(columns=["_by"]).assign(**{out: begin})
+            yield then(b) if then else b
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.withColumn("_by", by).mapInPandas(run, f"{kinds}, `{out}` bigint").drop("_pid")
+    return df.withColumn("_by", by).mapInPandas(run, f"{kinds}, `{out}` bigint{more and ', ' + more}").drop("_pid")

@@ -87,6 +87,10 @@ def test_mix(spark):
         assert r["n_tokens"] > 0
     assert max(len(v) for (s, _), v in used.items() if s == "a") <= 2 and all(len(v) == 1 for (s, _), v in used.items() if s == "b")
     total = sum(r["_n"] for r in with_tokens(df, "doc_id", "text").collect())
-    assert abs(sum(r["n_tokens"] for r in got) - total) <= 3 * 64
+    assert sum(r["n_tokens"] for r in got) == total
+    assert len({(r["slot"], r["doc_id"], r["start_token"]) for r in got}) == len(got)
+    whole = mixing.mix(df, spark.createDataFrame([("a", 1.0, 2)], targets.schema), block=64)  # every pass over a source holds all its tokens
+    a = sum(r["_n"] for r in with_tokens(df.where("source = 'a'"), "doc_id", "text").collect())
+    assert sum(r["n_tokens"] for r in whole.collect()) == min(total, 2 * a)
     assert {r["source"] for r in mixing.shares(mixing.mix(df, targets, block=64, shards=8), targets).collect()} == {"a", "b", "zzz"}
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
