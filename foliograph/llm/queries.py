@@ -46,11 +46,18 @@ def p3_canonical_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_confusable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "reference_item").select("raw").where(F.col("raw").rlike("[\\u0370-\\u052f]"))
+    rows = table(spark, sf_dir, "reference_item").select("ref_id", "raw").distinct()
+    raw = rows.select("raw").where(F.col("raw").rlike("[^\\u0000-\\u036f]"))
     hits = raw.select(F.explode(confusables.findings_udf("raw")).alias("f")).select("f.token", "f.kind")
     return hits.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = confusables.look_classes(table(spark, sf_dir, "paper"), "item_id", "title").withColumnRenamed("item_id", "key")
+    raw = confusables.look_classes(table(spark, sf_dir, "reference_item"), "ref_id", "raw", "source").withColumnRenamed("ref_id", "key")
+    return title.select(F.lit("title").alias("field"), "key", "class").unionByName(raw.select(F.lit("raw").alias("field"), "key", "class"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_confidence": p2_confidence,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p3_canonical_titles": p3_canonical_titles,
     "p3_confusable_tokens": p3_confusable_tokens,
     "p6_containers": p6_containers,

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliograph.llm.confusables import canonical, findings, look_alikes
+from foliograph.llm.confusables import canonical, findings, look_alikes, look_classes
 
 
 def test_forms():
@@ -39,3 +39,23 @@ def test_against_brute_force(spark):
         got = look_alikes(df, "id", "t", within).collect()
         assert len(got) == len(set(got)) and {tuple(r) for r in got} == brute(rows, within)
     assert look_alikes(df.limit(0), "id", "t").count() == 0
+
+
+def test_letters_of_further_scripts_and_styles():
+    for a, b in [
+        ("Rօd vision", "Rod vision"), ("Ꮢod vision", "Rod vision"), ("𝐑od 𝑣ision", "Rod vision"), ("ρaper on υse", "paper on use"), ("siɡnal", "signal"), ("Type Ⅳ", "Type IV"),
+        ("ꓡens ꓐ", "Lens B"), ("Ⲣlan", "Plan"),
+    ]:
+        assert canonical(a) == canonical(b) == b, a
+    for a, b in [("ρ = 1", "p = 1"), ("α-actin", "a-actin"), ("β-catenin", "B-catenin"), ("ılık", "ilik"), ("10²", "102"), ("հայ", "huj")]:
+        assert canonical(a) != canonical(b), a
+    for t in ("ρaper օ", "Привет мир", "Λόγος ρ", "հայերեն օ", "ᏣᎳᎩ Ꭰ"):
+        assert canonical(canonical(t)) == canonical(t)
+    assert canonical("Привет мир") == "Привет мир" and canonical("հայերեն") == "հայերեն"
+
+
+def test_classes(spark):
+    rows = [(1, "Rod vision", "g"), (2, "Rоd vision", "g"), (2, "Rоd vision", "g"), (3, "Rod vision", "g"), (4, "Rod vision", "h"), (5, None, "g"), (6, "other", "g")]
+    df = spark.createDataFrame(rows, "id bigint, t string, class string")
+    assert sorted(tuple(r) for r in look_classes(df, "id", "t", "class").collect()) == [(1, 1), (2, 1), (3, 1)]
+    assert look_classes(df.limit(0), "id", "t").count() == 0
