@@ -83,6 +83,10 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_pii(table(spark, sf_dir, "documents"), "public test secret")
 
 
+def p8_redacted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_pii(table(spark, sf_dir, "documents"), "public test secret", dates=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
+    "p8_redacted_dates": p8_redacted_dates,
 }
 
 ORACLE: dict[str, str] = {}
