@@ -415,12 +415,12 @@ def _numbers(text: str, v: str, place: Places | None, taken: _Taken) -> None:
                 bare = bare[: bare.rindex(" ")]
                 b = a + len(bare)
             at = b
-            if 7 <= len(_digits(bare)) <= most:
+            if 7 <= len(_digits(bare)) <= most and not _is_date(bare):
                 taken.add(a, b, "phone")
     if place is not None:  # a number that opens a line after another number
         hard = _HYPHENED.sub(lambda m: "" if text[m.start() - 1].isalpha() and text[m.end()].islower() else "-", text)
         for m in _PHONE.finditer(hard):
-            if 7 <= len(_digits(m[0])) <= LONGEST_PHONE:
+            if 7 <= len(_digits(m[0])) <= LONGEST_PHONE and not _is_date(m[0]):
                 taken.add(*m.span(), "phone")
     for m in _CUED.finditer(v):
         if 6 <= len(_digits(m["n"])) <= 15:
@@ -574,6 +574,11 @@ def _day(m: regex.Match) -> int | None:
     return n if 0 <= n < _DAYS else None
 
 
+def _is_date(value: str) -> bool:
+    m = _DATE.fullmatch(value)
+    return m is not None and _day(m) is not None
+
+
 def _date(value: str, key: bytes) -> str:
     """Another date in the same format; equal dates agree in whatever format they are written."""
     m = _DATE.fullmatch(value)
