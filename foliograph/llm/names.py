@@ -11,16 +11,18 @@ Links of the first round rest on identifiers (ORCID, mail address), on an
 organisation's whole name, or on one work held in several copies or cited: the
 names typed for one place of a work are one person if they are compatible.
 Later rounds need fellow authors or an affiliation in common. Never merged are
-profiles with different ORCIDs, and two authors of one record.
+profiles with different ORCIDs, and two authors of one record, be it directly
+or over a third name: where the links of the first round would do so, profiles
+join one by one, the best link first, as far as these bounds allow.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,7 +33,7 @@ from xxhash import xxh3_64_intdigest
 from foliograph.llm.bibkeys import close, content, doi, full_forms, split_name, title_words
 from foliograph.llm.confusables import canonical
 from foliograph.llm.lexicon import fold
-from foliograph.session import cut, release
+from foliograph.session import broadcast_if_small, cut, release
 
 #: Short forms of words in names of organisations.
 ORG_SHORT = {
@@ -80,7 +82,11 @@ def name_keys(fam: str, giv: list[str], kind: str) -> list[str]:
     if kind == "o":
         w = fam.split()
         letters = "".join(sorted(x[0] for x in w))
-        return [f"o:{letters}:{x}" for x in set(w)] + [f"o2:{a} {b}" for a, b in combinations(sorted(set(w)), 2)]
+        keys = {f"o:{letters}:{x}" for x in w}  # meets acronyms only
+        for k, x in enumerate(w):
+            rest = " ".join(sorted(w[:k] + w[k + 1 :]))
+            keys |= {f"r:{rest}|{h}" for h in (*half_keys(x), x[:3])}
+        return sorted(keys)
     if not fam:
         return []
     keys = _shortened(fam, 1 if len(fam) < 7 else 2)
@@ -143,18 +149,25 @@ def _families(a: str, b: str) -> int:
 
 
 def _organisations(a: str, b: str) -> int:
-    x, y = a.split(), b.split()
-    if sorted(x) == sorted(y):
+    """2: the same words; 1: all but one are the same and that one is cut short or has a slip; 0: other."""
+    x, y = sorted(a.split()), sorted(b.split())
+    if x == y:
         return 2
-    if len(x) != len(y):
-        return 0
-    y = list(y)
-    for w in sorted(x, key=lambda w: w not in y):
-        m = next((v for v in y if v == w), None) or next((v for v in y if len(min(v, w, key=len)) > 2 and (v.startswith(w) or w.startswith(v))), None) or next((v for v in y if close(v, w, 2 if min(len(v), len(w)) > 5 else 1)), None)
-        if m is None:
-            return 0
-        y.remove(m)
-    return 1
+    slip = _slip(a, b)
+    return 1 if slip else 0
+
+
+@lru_cache(maxsize=1 << 14)
+def _slip(a: str, b: str) -> tuple[str, str] | None:
+    """The one word in which two organisations' names differ by being cut short or by a slip."""
+    x, y = Counter(a.split()), Counter(b.split())
+    one, other = list((x - y).elements()), list((y - x).elements())
+    if len(one) != 1 or len(other) != 1:
+        return None
+    v, w = sorted((one[0], other[0]), key=len)
+    if len(v) > 2 and (w.startswith(v) or close(v, w, 1)):
+        return one[0], other[0]
+    return None
 
 
 def compatible(a: tuple[str, tuple[str, ...], str], b: tuple[str, tuple[str, ...], str]) -> int:
@@ -217,6 +230,16 @@ def _spellings(x) -> set[tuple]:
     return {(s["fam"], tuple(s["giv"]), s["kind"]) for s in x}
 
 
+@F.pandas_udf(T.StructType([T.StructField("v", T.StringType()), T.StructField("w", T.StringType())]))
+def _slips(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The words of a slip (not of a word cut short) between two organisations' names, null if there is none."""
+    out = []
+    for x, y in zip(a, b):
+        s = _slip(x, y)
+        out.append((None, None) if s is None or s[0].startswith(s[1]) or s[1].startswith(s[0]) else s)
+    return pd.DataFrame(out, columns=["v", "w"])
+
+
 @F.pandas_udf(T.IntegerType())
 def _best(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_agree(_spellings(x), _spellings(y)) for x, y in zip(a, b)], dtype="int32")
@@ -374,25 +397,25 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
     by_id = marks.join(marks.groupBy("key").agg(F.min("n").alias("b")), "key").select(F.col("n").alias("a"), "b")
 
     # one work, one place: compatible names
-    shape = spelled.select("n", F.struct("fam", "giv", "kind").alias("s"), F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"))
-    person = F.col("kind") == "p"  # of an organisation only that it is one counts here
-    typed = spelled.select("n", F.when(person, F.col("fam")).alias("fam"), F.when(person, F.get("giv", F.lit(0))).alias("g"))
-    near = _alike(slots.join(typed, "n").select(F.col("work").alias("slot"), "n", F.col("pos").cast("short").alias("pos"), "fam", "g"))
-    near = near.groupBy("a", "b").agg(F.max((F.col("pos_a") == F.col("pos_b")).cast("int")).alias("placed"))
-    # names alike of two authors of one record
-    clash = _alike(occ.join(typed, "n").select(F.col("item").alias("slot"), "n", "pos", "fam", "g"))
-    clash = cut(clash.select("a", "b").distinct())
-    near = near.join(clash, ["a", "b"], "left_anti")
-    agreed = _agreement(near, shape).where(F.when(F.col("placed") == 1, F.col("fit") >= 2).otherwise(F.col("fit") >= 4))
+    shape = cut(spelled.select("n", F.struct("fam", "giv", "kind").alias("s"), F.when(F.col("kind") != "p", F.transform("keys", lambda k: F.xxhash64(k))).alias("keys")))
+    typed = spelled.select("n", "fam", F.array_join("giv", " ").alias("giv"), "kind")
+    placed = slots.join(typed, "n").groupBy("work", F.col("pos").cast("short").alias("pos"), "fam", "giv", "kind").agg(F.min("n").alias("rep"), F.collect_set("n").alias("all"))
+    placed = cut(placed)
+    # one spelling at one place is one person, however many names were typed so; spellings are compared once
+    stars = placed.where("size(all) > 1 AND fam <> ''").select(F.explode("all").alias("a"), F.col("rep").alias("b"), F.lit(5).alias("fit")).where("a <> b")
+    near = _alike(placed.select(F.col("work").alias("slot"), F.col("rep").alias("n"), "pos", "fam", "giv", "kind"))
+    agreed = near.unionByName(stars).groupBy("a", "b").agg(F.max("fit").alias("fit"))
+    held_in = cut(occ.select("n", "item").distinct())
+    agreed = cut(agreed)
+    agreed = agreed.join(_share(agreed, held_in.select(F.col("n").alias("label"), "item")), ["a", "b"], "left_anti")
 
     # an organisation is its name
-    orgs = shape.where("s.kind <> 'p'").select("n", F.explode("keys").alias("key"))
-    named = _agreement(_pairs(orgs, "key", "n").distinct(), shape).where("fit >= 4")
+    named = _same_organisations(shape)
 
-    strong = by_id.unionByName(agreed.select("a", "b")).unionByName(named.select("a", "b"))
-    strong = _without_conflicts(strong, orcids)
-    labels = components(spelled.select("n").distinct(), strong)
-    release(names)
+    strong = by_id.withColumn("fit", F.lit(9)).unionByName(agreed.select("a", "b", "fit")).unionByName(named.withColumn("fit", F.lit(5)))
+    strong = cut(_without_conflicts(strong, orcids))
+    labels = _bounded_components(spelled.select("n").distinct(), strong, orcids, held_in)
+    release(placed, agreed, strong)
 
     affil = occ.select("n", F.explode("affs").alias("aff")).select("n", _affiliation(F.col("aff")).alias("aff")).where(F.length("aff") > 5)
     state = State(
@@ -400,13 +423,15 @@ def resolve(names: DataFrame, papers: DataFrame, refs: DataFrame, use_orcid: boo
         cut(slots.join(labels, "n").select("label", "work").distinct()),
         cut(affil.select("n", F.xxhash64("aff").alias("aff")).join(labels, "n").select("label", "aff").distinct()),
         cut(_person_keys(shape).join(labels, "n").select("label", "key").distinct()),
+        cut(held_in.join(labels, "n").select("label", "item").distinct()),
     )
+    release(slots, held_in, occ)
     while True:
-        state, merged = _rematch(state, shape, orcids, clash)
+        state, merged = _rematch(state, shape, orcids)
         if not merged:
             break
-        release(names)
     labels = state.labels
+    release(shape, orcids, spelled, state.on, state.affil, state.keys, state.items, state.active)
     return labels.select("n", F.col("label").alias("entity"))
 
 
@@ -416,36 +441,108 @@ def _pairs(df: DataFrame, by: str, of: str) -> DataFrame:
 
 
 def _alike(keyed: DataFrame) -> DataFrame:
-    """(a, b, pos_a, pos_b) of names that share a slot, but for those that `compatible` refuses at any rate.
+    """(a, b, fit) of names that share a slot and agree well enough: 2 at one place of it, 4 at any.
 
-    All names of a slot meet, as a slip may spoil any letter a key could rest
-    on. A slip that swaps neighbours counts twice in a Levenshtein distance.
-    Organisations come without family name.
+    All spellings of a slot meet, as a slip may spoil any letter a key could
+    rest on. What `compatible` refuses at any rate is dropped before it runs; a
+    slip that swaps neighbours counts twice in a Levenshtein distance.
     """
-    keyed = keyed.repartition("slot")  # one exchange serves both sides
-    x, y = (keyed.select("slot", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "pos", "fam", "g")]) for side in "ab")
+    x, y = (keyed.select("slot", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "pos", "fam", "giv", "kind")]) for side in "ab")
     both = x.join(y, "slot").where("n_a < n_b")
     fa, fb = F.col("fam_a"), F.col("fam_b")
-    swapped = (F.levenshtein("fam_a", "g_b", 2) >= 0) & (F.levenshtein("fam_b", "g_a", 2) >= 0)
+    first = lambda g: F.substring_index(g, " ", 1)
+    swapped = (F.length("giv_a") > 0) & (F.length("giv_b") > 0) & (F.levenshtein("fam_a", first("giv_b"), 2) >= 0) & (F.levenshtein("fam_b", first("giv_a"), 2) >= 0)
     slips = F.when(F.least(F.length(fa), F.length(fb)) < 7, F.levenshtein(fa, fb, 2)).otherwise(F.levenshtein(fa, fb, 4)) >= 0
     flat = lambda f: F.replace(F.replace(F.replace(f, F.lit("oe"), F.lit("o")), F.lit("ue"), F.lit("u")), F.lit("ae"), F.lit("a"))
-    like = slips | fa.contains("-") | fb.contains("-") | F.coalesce(swapped, F.lit(False)) | (flat(fa) == flat(fb))
-    like = (fa.isNull() & fb.isNull()) | (fa.isNotNull() & fb.isNotNull() & like)
-    return both.where(like).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), "pos_a", "pos_b")
+    like = slips | fa.contains("-") | fb.contains("-") | swapped | (flat(fa) == flat(fb))
+    people = (F.col("kind_a") == "p") & (F.col("kind_b") == "p")
+    both = both.where(people & like | (F.col("kind_a") != "p") & (F.col("kind_b") != "p"))
+    both = both.withColumn("fit", _fit("fam_a", "giv_a", "kind_a", "fam_b", "giv_b", "kind_b"))
+    return both.where((F.col("fit") >= 4) | (F.col("fit") >= 2) & (F.col("pos_a") == F.col("pos_b"))).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), "fit")
 
 
-def _agreement(pairs: DataFrame, shape: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) of names with `fit`, the agreement of their spellings."""
-    x, y = (shape.select(F.col("n").alias(c), F.col("s.fam").alias(f"f{c}"), F.array_join("s.giv", " ").alias(f"g{c}"), F.col("s.kind").alias(f"k{c}")) for c in "ab")
-    p = pairs.join(x, "a").join(y, "b").withColumn("fit", _fit("fa", "ga", "ka", "fb", "gb", "kb"))
-    return p.drop("fa", "ga", "ka", "fb", "gb", "kb")
+def _same_organisations(shape: DataFrame) -> DataFrame:
+    """(a, b): names of one organisation.
+
+    Spellings are compared once, however many names were typed so. Of two words
+    that differ by a slip the rarer is taken for a slip of the other only if it
+    is much rarer: two places that are both named often are two places.
+    """
+    orgs = shape.where("s.kind <> 'p'").select("n", "s", "keys")
+    # group by the whole spelling: its id is the least name typed so
+    spelled = cut(orgs.groupBy("s").agg(F.min("n").alias("rep"), F.first("keys").alias("keys"), F.collect_set("n").alias("all")))
+    stars = spelled.select(F.explode("all").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    keyed = spelled.select("rep", F.col("s.kind").alias("kind"), F.explode("keys").alias("key"))
+    pairs = _pairs(keyed.where("kind = 'o'"), "key", "rep").unionByName(
+        keyed.where("kind = 'a'").select("key", F.col("rep").alias("a")).join(keyed.select("key", F.col("rep").alias("b")), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    )
+    x, y = (spelled.select(F.col("rep").alias(c), F.col("s.fam").alias(f"f{c}"), F.array_join("s.giv", " ").alias(f"g{c}"), F.col("s.kind").alias(f"k{c}")) for c in "ab")
+    fit = pairs.distinct().join(x, "a").join(y, "b").withColumn("fit", _fit("fa", "ga", "ka", "fb", "gb", "kb")).where("fit >= 4")
+    slip = F.when((F.col("ka") == "o") & (F.col("kb") == "o"), _slips("fa", "fb"))
+    fit = cut(fit.select("a", "b", slip.alias("slip")).select("a", "b", "slip.v", "slip.w"))
+    counts = orgs.where("s.kind = 'o'").select(F.explode(F.array_distinct(F.split("s.fam", " "))).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    slips = fit.where("v IS NOT NULL").join(counts, "v").join(counts.select(F.col("v").alias("w"), F.col("c").alias("d")), "w")
+    sure = slips.where((F.least("c", "d") == 1) | (F.least("c", "d") * 5 <= F.greatest("c", "d"))).select("a", "b")
+    return fit.where("v IS NULL").select("a", "b").unionByName(sure).unionByName(stars)
+
+
+def _share(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that hold a record in common, looked up for the side with fewer records."""
+    n = items.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    both = pairs.select("a", "b").distinct().join(n.select(F.col("label").alias("a"), F.col("c").alias("ca")), "a").join(n.select(F.col("label").alias("b"), F.col("c").alias("cb")), "b")
+    few = both.select("a", "b", F.when(F.col("ca") <= F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("label"), F.when(F.col("ca") <= F.col("cb"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    rows = few.join(items, "label").select("a", "b", F.col("other").alias("label"), "item")
+    return rows.join(items, ["label", "item"], "left_semi").select("a", "b").distinct()
+
+
+def _bounded_components(nodes: DataFrame, edges: DataFrame, orcids: DataFrame, items: DataFrame) -> DataFrame:
+    """(n, label): components of edges (a, b, fit), none with two ORCIDs or two authors of one record.
+
+    A component that would break a bound is built up instead: in each round
+    every profile names its best link that breaks none, profiles that name
+    each other merge, and so do all that name the same one of these, if together
+    they keep the bounds.
+    """
+    labels = components(nodes, edges)
+    held = items.join(labels, "n")
+    split = held.groupBy("label", "item").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("label")
+    split = split.unionByName(orcids.join(labels, "n").groupBy("label").agg(F.countDistinct("orcid").alias("c")).where("c > 1").select("label")).distinct()
+    split = cut(split)
+    if split.isEmpty():
+        return labels
+    inside = cut(labels.join(split, "label", "left_semi").select("n"))
+    e = cut(edges.join(inside.select(F.col("n").alias("a")), "a", "left_semi"))
+    mine = cut(inside.withColumn("label", F.col("n")))
+    own_items, own_ids = cut(items.join(inside, "n", "left_semi")), cut(orcids.join(inside, "n", "left_semi"))
+    while True:
+        la, lb = (mine.select(F.col("n").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        link = e.join(la, "a").join(lb, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "fit").groupBy("a", "b").agg(F.max("fit").alias("fit"))
+        link = cut(link)
+        its = own_items.join(mine, "n").select("label", "item").distinct()
+        ids = own_ids.join(mine, "n").select("label", "orcid").distinct()
+        link = link.join(_share(link, its), ["a", "b"], "left_anti")
+        o = ids.groupBy("label").agg(F.min("orcid").alias("o"))
+        link = link.join(o.select(F.col("label").alias("a"), F.col("o").alias("oa")), "a", "left").join(o.select(F.col("label").alias("b"), F.col("o").alias("ob")), "b", "left").where("oa IS NULL OR ob IS NULL OR oa = ob")
+        rank = F.struct("fit", F.xxhash64("a", "b").alias("draw"), F.col("a").alias("x"), F.col("b").alias("y"))
+        both = link.select("a", "b", rank.alias("rank")).unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("b"), rank.alias("rank")))
+        best = cut(both.groupBy("a").agg(F.max_by("b", "rank").alias("b")))
+        mutual = cut(best.join(best.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("a < b"))
+        if mutual.isEmpty():
+            return labels.join(inside, "n", "left_anti").unionByName(mine)
+        # a pair and all that name its first member: merged if their ORCIDs and records allow it, else the pair alone
+        star = mutual.select(F.col("a").alias("hub"), F.explode(F.array("a", "b")).alias("label")).unionByName(best.join(mutual.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a <> c").select(F.col("b").alias("hub"), F.col("a").alias("label")))
+        star = cut(star)
+        broken = star.join(its, "label").groupBy("hub", "item").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hub")
+        broken = broken.unionByName(star.join(ids, "label").groupBy("hub").agg(F.countDistinct("orcid").alias("c")).where("c > 1").select("hub")).distinct()
+        to = star.join(broken, "hub", "left_anti").unionByName(mutual.join(broken.select(F.col("hub").alias("a")), "a", "left_semi").select(F.col("a").alias("hub"), F.col("b").alias("label")))
+        mine = cut(mine.join(to.where("hub <> label"), "label", "left").select("n", F.coalesce("hub", "label").alias("label")))
 
 
 def _without_conflicts(edges: DataFrame, orcids: DataFrame) -> DataFrame:
     """Edges but those between names of different ORCIDs."""
     o = orcids.groupBy("n").agg(F.min("orcid").alias("o"))
     e = edges.join(o.select(F.col("n").alias("a"), F.col("o").alias("oa")), "a", "left").join(o.select(F.col("n").alias("b"), F.col("o").alias("ob")), "b", "left")
-    return e.where("oa IS NULL OR ob IS NULL OR oa = ob").select("a", "b").distinct()
+    return e.where("oa IS NULL OR ob IS NULL OR oa = ob").select("a", "b", "fit").distinct()
 
 
 def _affiliation(aff: Column) -> Column:
@@ -460,12 +557,13 @@ AFFILIATION = 1.5
 
 @dataclass
 class State:
-    """What rounds hand on: each name's profile, the profiles' works, affiliations and keys, and whom the next round looks at (None: all)."""
+    """What rounds hand on: each name's profile, the profiles' works, affiliations, keys and records, and whom the next round looks at (None: all)."""
 
     labels: DataFrame
     on: DataFrame
     affil: DataFrame
     keys: DataFrame
+    items: DataFrame
     active: DataFrame | None = None
 
 
@@ -477,7 +575,7 @@ def _blocks(keys: DataFrame, fellow: DataFrame, affil: DataFrame, side: str) ->
     return keys.join(ties, "label").select(F.xxhash64("key", "tie").alias("block"), "tie", "aff", F.col("label").alias(side))
 
 
-def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -> tuple[State, bool]:
+def _rematch(st: State, shape: DataFrame, orcids: DataFrame) -> tuple[State, bool]:
     """One round: merged profiles are blocked again and each joins its best match; False if no two merge.
 
     Two profiles that are each other's best match merge, and those whose best
@@ -503,11 +601,8 @@ def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -
     pair = left.join(right.select("block", "b"), "block").where("a <> b" if who is not None else "a < b")
     pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tie", "aff").distinct()
     pair = pair.groupBy("a", "b").agg(F.sum(F.when(F.col("aff"), AFFILIATION).otherwise(1.0)).alias("common")).where("common >= 1")
-    # never two authors of one record, never two ORCIDs
-    la, lb = (st.labels.select(F.col("n").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    apart = clash.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    # never two ORCIDs
     own = cut(orcids.join(st.labels, "n").groupBy("label").agg(F.min("orcid").alias("o")))
-    pair = pair.join(apart, ["a", "b"], "left_anti")
     pair = pair.join(own.select(F.col("label").alias("a"), F.col("o").alias("oa")), "a", "left").join(own.select(F.col("label").alias("b"), F.col("o").alias("ob")), "b", "left")
     pair = cut(pair.where("oa IS NULL OR ob IS NULL OR oa = ob").select("a", "b", "common"))
     met = pair.select(F.col("a").alias("label")).unionByName(pair.select(F.col("b").alias("label"))).distinct()
@@ -517,6 +612,8 @@ def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -
     pair = pair.withColumn("fit", _best("sa", "sb")).select("a", "b", "common", "fit")
     # whole given names need one tie, initials two
     pair = cut(pair.where((F.col("fit") >= 5) & (F.col("common") >= 1) | (F.col("fit") == 4) & (F.col("common") >= 1.5) | (F.col("fit") == 3) & (F.col("common") >= 2.5)))
+    # never two authors of one record
+    pair = cut(pair.join(_share(pair, st.items), ["a", "b"], "left_anti"))
     score = F.col("common") + 2 * F.col("fit")
     # no two pairs rank alike: equal scores are drawn by a hash, so that of many profiles alike a share merges in each round
     rank = F.struct(score.alias("score"), F.xxhash64("a", "b").alias("draw"), F.col("a").alias("x"), F.col("b").alias("y"), "fit").alias("rank")
@@ -533,23 +630,28 @@ def _rematch(st: State, shape: DataFrame, orcids: DataFrame, clash: DataFrame) -
     joined = mutual.select(F.col("b").alias("label"), F.col("a").alias("to"))
     if not more.isEmpty():
         among = core.select("hub", F.col("a").alias("label"), F.lit(float("inf")).alias("score"), F.lit(-1).alias("fit")).join(more.select("hub").distinct(), "hub", "left_semi").unionByName(more)
-        of_a, of_b = (among.select(F.col("label").alias(c), F.col("hub").alias(f"hub_{c}")) for c in "ab")
-        never = apart.join(of_a, "a").join(of_b, "b").where("hub_a = hub_b")
+        # who of those that want to join one pair holds a record in common
+        rows = among.select("hub", "label").join(st.items, "label")
+        never = rows.select("hub", "item", F.col("label").alias("a")).join(rows.select("hub", "item", F.col("label").alias("b")), ["hub", "item"]).where("a < b").select("a", "b").distinct()
         never = never.select("a", "b").unionByName(never.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("label")).agg(F.collect_list("b").alias("apart"))
         among = among.join(profile, "label").join(own, "label", "left").join(never, "label", "left")
         gathered = among.groupBy("hub").applyInPandas(_gather, "label bigint, to bigint").where("label <> to")
         joined = joined.join(more.select(F.col("hub").alias("to")).distinct(), "to", "left_anti").select("label", "to").unionByName(gathered)
     to = cut(joined)
 
+    step = broadcast_if_small(to)
+
     def moved(df: DataFrame) -> DataFrame:
         # the few rows that now agree may stay: what is made of them is made distinct
-        return cut(df.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+        return cut(df.join(step, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
 
     grown = to.select(F.col("to").alias("label")).distinct()
     put_off = moved(pair.select(F.col("a").alias("label")).unionByName(pair.select(F.col("b").alias("label"))).distinct())
     near = moved(fellow.join(to.select(F.col("to").alias("fellow")).unionByName(to.select(F.col("label").alias("fellow"))), "fellow", "left_semi").select("label").distinct())
     active = cut(grown.unionByName(put_off).unionByName(near).distinct())
-    return State(moved(st.labels), moved(on), moved(st.affil), moved(st.keys), active), True
+    new = State(moved(st.labels), moved(on), moved(st.affil), moved(st.keys), moved(st.items), active)
+    release(st.labels, st.on, st.affil, st.keys, st.items, st.active, fellow, own, profile, pair, best, mutual, more, to)
+    return new, True
 
 
 def entity_pairs(entities: DataFrame) -> DataFrame:

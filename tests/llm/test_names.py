@@ -90,3 +90,35 @@ def test_slips_of_names_in_one_work(spark):
         names += [(2 * k + 10, fa, la, 0), (2 * k + 11, fb, lb, 0)]
         papers += [(2 * k + i, f"Work {k} on Gfr{k} and Kcn{k} in the lens fibres of mice", None, [c(2 * k + 10 + i)]) for i in (0, 1)]
     assert groups(spark, names, papers, []) == [[2 * k + 10, 2 * k + 11] for k in range(len(pairs))]
+
+
+def test_no_link_over_a_third_name(spark):
+    """Two ORCIDs, and two authors of one record, stay apart though one short form fits both; each name is in at most one of their entities."""
+    t = "How Pde35 regulates the zebrafish retina under constant light after dark adaptation"
+    names = [(1, "Ewa", "Jarnemire", 0), (2, "E.", "Jarnemire", 0), (3, "Ewa", "Jarnemire", 0)]
+    got = groups(spark, names, [(100, t, None, [c(1, O1)]), (101, t, None, [c(2)]), (102, t, None, [c(3, O2)])], [])
+    assert not any({1, 3} <= set(g) for g in got) and sorted(x for g in got for x in g) == [1, 2, 3] and len(got) == 2
+    names = [(1, "Ewa", "Jarnemire", 0), (2, "Erik", "Jarnemire", 0), (3, "E.", "Jarnemire", 0)]
+    got = groups(spark, names, [(100, t, None, [c(1), c(2)]), (101, t, None, [c(3)])], [])
+    assert not any({1, 2} <= set(g) for g in got) and len(got) == 2
+    # many copies, one wrong: the bound holds and the rest comes out whole
+    names = [(k, "Ewa", "Jarnemire", 0) for k in range(20)] + [(20, "E.", "Jarnemire", 0), (21, "Erik", "Jarnemire", 0)]
+    papers = [(100 + k, t, None, [c(k, O1 if k < 3 else None)]) for k in range(20)] + [(130, t, None, [c(20)]), (131, t, None, [c(21, O2)])]
+    got = groups(spark, names, papers, [])
+    assert any(set(range(20)) <= set(g) and 21 not in g for g in got)
+
+
+def test_organisations_of_places_alike(spark):
+    """A slip is one word's, and of two names both in use neither is a slip of the other; acronyms meet their places."""
+    forms = ["{} Retina Foundation", "Retina Foundation of {}", "The {} Retina Foundation"]
+    names = [(k, None, f.format(p), 0) for k, (p, f) in enumerate((p, f) for p in ("Casgavale", "Casmivale", "Tamvawick", "Tammawick") for f in forms)]
+    names += [(50, None, "Casgvaale Retina Foundation", 0), (51, None, "Casgavale Retina Fdn", 0), (52, None, "CRF (Casmivale)", 0), (53, None, "Casmivale Retina Found.", 0)]
+    assert groups(spark, names, [], []) == [[0, 1, 2, 50, 51], [3, 4, 5, 52, 53], [6, 7, 8], [9, 10, 11]]
+
+
+def test_one_spelling_cited_by_very_many(spark):
+    """A work whose references were all typed into the store: names of one spelling are not compared pair by pair."""
+    t = "How Pde35 regulates the zebrafish retina under constant light after dark adaptation"
+    names = [(k, None, "Jarnemire EA" if k % 2 else "Jarnemire, E.", 0) for k in range(400)]
+    got = groups(spark, names, [(1000, t, None, [c(0)])], [(k, t, None, None) for k in range(400)])
+    assert got == [list(range(400))]
