@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -74,13 +75,21 @@ def cut_in_order(df: DataFrame) -> DataFrame:
 
 
 def release(*frames: DataFrame | None) -> None:
-    """Delete the tables that `cut` wrote for these frames; nothing may read them afterwards."""
+    """Delete the tables that `cut` wrote for these frames, and let go of what they kept; nothing may read them afterwards.
+
+    Shuffle files and broadcasts of frames out of reach go only once the
+    driver's JVM has collected them, which an iteration of small plans would
+    put off for long.
+    """
+    jvm = None
     for df in frames:
         path = getattr(df, "_written", None)
-        jvm = getattr(df.sparkSession, "_jvm", None) if path else None
-        if jvm is not None:
+        if path and (jvm := getattr(df.sparkSession, "_jvm", None)):
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if jvm is not None:
+        gc.collect()
+        jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
