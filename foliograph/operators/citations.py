@@ -44,3 +44,10 @@ def repeated_lines(docs: DataFrame, least: int = 2) -> DataFrame:
     line = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     key = F.regexp_replace(text.norm(F.col("line")), "[0-9]+", "0")
     return line.select("doc_id", key.alias("line")).where(F.length("line").between(4, 80)).groupBy("line").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") >= least)
+
+
+def audit(resolved: DataFrame) -> DataFrame:
+    """(doc_id, expected, matched, unresolved, status): of each document's mentions, how many found their record; ambiguous ones have not."""
+    ok = F.col("status") == "matched"
+    by = resolved.groupBy("doc_id").agg(F.count(F.lit(1)).alias("expected"), F.count_if(ok).alias("matched"), F.count_if(~ok).alias("unresolved"))
+    return by.withColumn("status", F.when(F.col("unresolved") == 0, "complete").when(F.col("matched") == 0, "none").otherwise("partial"))

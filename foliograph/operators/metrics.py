@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import ids, text
-from foliograph.operators.packed import split_packed
+from foliograph.operators.packed import ISSN, split_packed
 
 
 def metric_rows(metrics: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def metric_rows(metrics: DataFrame) -> DataFrame:
 
 def metric_issns(metrics: DataFrame) -> DataFrame:
     """(metric_id, issn) with right check characters."""
-    v = split_packed(metrics, "issn", ["metric_id"], "issn", "pos")
+    v = split_packed(metrics, "issn", ["metric_id"], "issn", "pos", shape=ISSN)
     return v.select("metric_id", ids.issn(F.col("issn")).alias("issn")).where("issn IS NOT NULL").distinct()
 
 
