@@ -122,3 +122,17 @@ def test_one_spelling_cited_by_very_many(spark):
     names = [(k, None, "Jarnemire EA" if k % 2 else "Jarnemire, E.", 0) for k in range(400)]
     got = groups(spark, names, [(1000, t, None, [c(0)])], [(k, t, None, None) for k in range(400)])
     assert got == [list(range(400))]
+
+
+def test_tables_are_released_once_used(spark):
+    """What `resolve` leaves in the shared folder does not grow with the rounds of its loops: tables of each round go with it."""
+    from pathlib import Path
+
+    from foliograph.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://")) / f"tables-{spark.sparkContext.applicationId}"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    names = [(k, "Ewa", f"Jarnemire{'x' * (k % 3)}", 0) for k in range(8)]
+    papers = [(k, f"How Pde35 regulates the zebrafish retina under constant light in part {k // 2}", None, [c(k, O1 if k == 0 else O2 if k == 5 else None, ["Ulvale Centre for Vision Research"])]) for k in range(8)]
+    assert N.resolve(spark.createDataFrame(names, NS), spark.createDataFrame(papers, PS), spark.createDataFrame([], RS)).count() == 8
+    assert len(set(folder.iterdir()) - before) <= 20
