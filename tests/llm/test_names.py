@@ -136,3 +136,53 @@ def test_tables_are_released_once_used(spark):
     papers = [(k, f"How Pde35 regulates the zebrafish retina under constant light in part {k // 2}", None, [c(k, O1 if k == 0 else O2 if k == 5 else None, ["Ulvale Centre for Vision Research"])]) for k in range(8)]
     assert N.resolve(spark.createDataFrame(names, NS), spark.createDataFrame(papers, PS), spark.createDataFrame([], RS)).count() == 8
     assert len(set(folder.iterdir()) - before) <= 20
+
+
+def shuffled(spark, run) -> int:
+    """Rows that a call shuffles."""
+    sc = spark.sparkContext
+    store, gateway = sc._jsc.sc().statusStore(), sc._gateway
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(x := found.apply(k)).stageId(): x.shuffleWriteRecords() for k in range(found.size())}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_families_alike_do_not_multiply_fellow_authors(spark):
+    """Sixty families that all agree, ten fellow authors each: rows are shuffled for each fellow author, not for each of its keys too."""
+    import random
+
+    rng = random.Random(3)
+    names = [(k, "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(9)).title(), f"Korpe{chr(98 + k // 10)}{chr(98 + k % 10)}ska", 0) for k in range(60)]
+    papers = [(100 + k, f"Work {k} on Gfr{k} in mouse lens fibres", None, [c((k + i) % 60) for i in range(6)]) for k in range(60)]
+    got = []
+    assert shuffled(spark, lambda: got.append(groups(spark, names, papers, []))) < 30000
+    assert got == [[[k] for k in range(60)]]
+
+
+def test_titles_that_begin_alike_do_not_multiply_references(spark):
+    """A reference meets the works that have both ends of its title, not all that begin as it does."""
+    t = "How Pde35 regulates the zebrafish retina under constant light in part {0} after {0} days of dark adaptation number {0}"
+    papers = spark.createDataFrame([(k, t.format(k), None) for k in range(150)], "item bigint, title string, doi string")
+    refs = spark.createDataFrame([(k, None, None, f"Jarnemire E (2010) {t.format(k)}. J. X 1: 1-2.") for k in range(150)], "n bigint, title string, doi string, raw string")
+    got = []
+    assert shuffled(spark, lambda: got.extend(N._works(papers, refs)[1].distinct().collect())) < 20000
+    assert sorted((x["n"], x["work"]) for x in got) == [(k, k) for k in range(150)]
+
+
+def test_components_of_chains_stars_and_others(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(40)] + [(99, k) for k in range(50, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    label = {k: k for k in range(300)}
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = N.components(spark.createDataFrame([(k,) for k in label], "n bigint"), spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert len(got) == 300 and {x["n"]: x["label"] for x in got} == label
