@@ -186,3 +186,20 @@ def test_components_of_chains_stars_and_others(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = N.components(spark.createDataFrame([(k,) for k in label], "n bigint"), spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert len(got) == 300 and {x["n"]: x["label"] for x in got} == label
+
+
+def test_rounds_run_few_plans(spark):
+    """The driver's memory follows the plans it has run, however small: rounds write tables of one schema together and count rows without a plan."""
+
+    def last() -> int:
+        spark.range(1).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+    names = [(1, "Ewa", "Olnetal", 0), (2, "Pedro", "Ligande", 0), (3, "Anna", "Korpeska", 0), (4, "Anna", "Korpeka", 0), (5, "Ivo", "Polmarik", 0), (6, "I.", "Polmarik", 0), (7, "Ivo", "Polmarik", 0)]
+    t = "How Pde35 regulates the zebrafish retina under constant light after dark adaptation"
+    papers = [(n, f"Work {n} on Gfr{n} in mouse lens fibres", None, [c(n), c(1), c(2)]) for n in (3, 4)] + [(n, t, None, [c(n, o)]) for n, o in ((5, O1), (6, None), (7, O2))]
+    before = last()
+    got = groups(spark, names, papers, [])
+    assert last() - before <= 75
+    assert got[:3] == [[1], [2], [3, 4]] and len(got) == 5
